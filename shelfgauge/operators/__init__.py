@@ -5,13 +5,13 @@ from shelfgauge.operators.enrichment import analyse, ask_model, enrich
 from shelfgauge.operators.merging import first_results, merge_results
 from shelfgauge.operators.requests import batch_products, batch_requests
 from shelfgauge.operators.responses import (
-    json_items,
     parse_responses,
     resolve_results,
     result_rows,
     stub_rows,
     usable_responses,
     validate_responses,
+    with_items,
 )
 from shelfgauge.operators.scoring import (
     DEFAULT_RULES,
@@ -19,7 +19,6 @@ from shelfgauge.operators.scoring import (
     absent,
     flaw_profile,
     pre_grade_profile,
-    pre_score,
     with_pre_score,
 )
 from shelfgauge.operators.summary import (
@@ -59,14 +58,12 @@ __all__ = [
     "first_results",
     "flaw_profile",
     "grade_distribution",
-    "json_items",
     "merge_results",
     "missing_attribute_frequency",
     "missing_badges",
     "needs_review",
     "parse_responses",
     "pre_grade_profile",
-    "pre_score",
     "preview",
     "product_badges",
     "resolve_results",
@@ -79,6 +76,7 @@ __all__ = [
     "usable_responses",
     "validate_responses",
     "with_batch_id",
+    "with_items",
     "with_position",
     "with_pre_score",
     "worst_products",

@@ -58,18 +58,14 @@ def ask_model(
     attempt: int,
     *,
     pause: float = 0.0,
-    callers: int | None = None,
     folder: str | None = None,
 ) -> DataFrame:
     """Send ``(batch_id, n, request)`` rows to the model and store the checked answers.
 
-    ``callers`` bounds the tasks that call at the same time; each waits ``pause`` seconds
-    between two calls. Answers are written before anything reads them: the model is
-    costly and need not answer twice alike, so it must not be called again when a
-    later step is recomputed.
+    Each task waits ``pause`` seconds between two calls. Answers are written before
+    anything reads them: the model is costly and need not answer twice alike, so it
+    must not be called again when a later step is recomputed.
     """
-    if callers:
-        requests = requests.repartition(callers, "batch_id")
     answers = requests.mapInPandas(_ask(scorer, attempt, pause), RESPONSE_SCHEMA)
     checked = validate_responses(parse_responses(answers)).drop("items")
     return store(checked, f"responses-{attempt}", folder)
@@ -90,17 +86,20 @@ def analyse(
 
     All batches are asked once; the batches with an invalid answer are asked again with
     the strict request; products of batches that still have none get stubs.
+
+    ``callers`` is the number of tasks that call the model, by default the session's
+    shuffle partitions. With ``pause`` it bounds the call rate to ``callers / pause``.
     """
-    requests = batch_requests(batched, columns, prompt, strict_prompt)
-    options = {"pause": pause, "callers": callers, "folder": folder}
-    first = ask_model(
-        requests.select("batch_id", "n", F.col("prompt").alias("request")), scorer, 1, **options
-    )
+    callers = callers or int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def ask(rows: DataFrame, attempt: int, text: str) -> DataFrame:
+        requests = batch_requests(rows, columns, prompt, strict_prompt, callers)
+        requests = requests.select("batch_id", "n", F.col(text).alias("request"))
+        return ask_model(requests, scorer, attempt, pause=pause, folder=folder)
+
+    first = ask(batched, 1, "prompt")
     accepted = first.where("valid").select("batch_id")
-    again = requests.join(accepted, "batch_id", "left_anti")
-    second = ask_model(
-        again.select("batch_id", "n", F.col("strict_prompt").alias("request")), scorer, 2, **options
-    )
+    second = ask(batched.join(accepted, "batch_id", "left_anti"), 2, "strict_prompt")
     return resolve_results(batched, first.unionByName(second))
 
 

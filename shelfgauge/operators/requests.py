@@ -73,14 +73,19 @@ def fill_template(template: str, n: Column, products: Column) -> Column:
     return F.concat(*pieces)
 
 
-def batch_products(batched: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def batch_products(
+    batched: DataFrame, columns: Sequence[str] | None = None, partitions: int | None = None
+) -> DataFrame:
     """``(batch_id, n, products_json)``; absent values appear as ``null``, not as gaps.
 
-    No group is larger than the batch size.
+    No group is larger than the batch size. ``partitions`` fixes the number of tasks,
+    which Spark would else choose by the size of the data.
     """
     names = columns or [name for name in batched.columns if name not in BATCH_COLUMNS]
     product = F.struct(*[F.col(f"`{name}`") for name in names])
     in_order = F.array_sort(F.collect_list(F.struct("item_no", product.alias("product"))))
+    if partitions:
+        batched = batched.repartition(partitions, "batch_id")
     return (
         batched.groupBy("batch_id")
         .agg(F.count("*").alias("n"), in_order.alias("rows"))
@@ -97,10 +102,11 @@ def batch_requests(
     columns: Sequence[str] | None = None,
     prompt: str = PROMPT,
     strict_prompt: str = STRICT_PROMPT,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``(batch_id, n, prompt, strict_prompt)`` for a feed with batch ids."""
     n, products = F.col("n"), F.col("products_json")
-    return batch_products(batched, columns).select(
+    return batch_products(batched, columns, partitions).select(
         "batch_id",
         "n",
         fill_template(prompt, n, products).alias("prompt"),

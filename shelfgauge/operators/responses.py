@@ -16,18 +16,26 @@ STUB_ISSUE = "LLM analysis failed for this product"
 STUB_SCORE, STUB_GRADE, STUB_PRIORITY = "0", "F", "High"
 
 
-def json_items(text: Column) -> Column:
-    """The elements of a JSON array; null unless the whole text is one array.
+def with_items(df: DataFrame, text: Column | str = "raw") -> DataFrame:
+    """Add ``items``, the elements of the JSON array in ``text``; null unless it is all one array.
 
     The JVM parser stops after the first value and ignores what follows. So the text
     is put into an outer array that ends with a hash of the text; only if the outer
     array has these two elements did the text hold exactly one value.
+
+    The steps are columns of their own so that each text is parsed once.
     """
-    mark = F.md5(text)
-    outer = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    pair = F.try_variant_get(outer, "$", "array<variant>")
-    whole = (F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == mark)
-    return F.when(whole, F.try_variant_get(F.get(pair, F.lit(0)), "$", "array<variant>"))
+    outer = F.concat(F.lit("["), F.col("_text"), F.lit(',"'), F.col("_mark"), F.lit('"]'))
+    pair = F.col("_pair")
+    marked = F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == F.col("_mark")
+    body = F.try_variant_get(F.get(pair, F.lit(0)), "$", "array<variant>")
+    return (
+        df.withColumn("_text", strip_fence(text))
+        .withColumn("_mark", F.md5("_text"))
+        .withColumn("_pair", F.try_variant_get(F.try_parse_json(outer), "$", "array<variant>"))
+        .withColumn("items", F.when((F.size(pair) == 2) & marked, body))
+        .drop("_text", "_mark", "_pair")
+    )
 
 
 def _members(item: Column) -> Column:
@@ -43,7 +51,7 @@ def _has_all_keys(item: Column) -> Column:
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Add ``items`` (the parsed array, else null) and its length ``n_items``."""
-    return responses.withColumn("items", json_items(strip_fence("raw"))).withColumn(
+    return with_items(responses).withColumn(
         "n_items", F.when(F.col("items").isNotNull(), F.size("items"))
     )
 
@@ -62,15 +70,19 @@ def usable_responses(validated: DataFrame) -> DataFrame:
     first = (F.col("attempt") == 1) & F.col("valid")
     second = (F.col("attempt") == 2) & (F.coalesce(F.col("n_items"), F.lit(0)) > 0)
     answer = "items" if "items" in validated.columns else "raw"
+    # The choice is made inside the aggregate (a null order is ignored): a filter on
+    # the flags would be pushed below the parsing and parse each text again.
     kept = (
-        validated.where(first | second)
-        .groupBy("batch_id")
-        .agg(F.min_by(F.struct("attempt", answer), "attempt").alias("kept"))
+        validated.groupBy("batch_id")
+        .agg(
+            F.min_by(F.struct("attempt", answer), F.when(first | second, F.col("attempt"))).alias(
+                "kept"
+            )
+        )
+        .where(F.col("kept").isNotNull())
         .select("batch_id", "kept.*")
     )
-    if answer == "items":
-        return kept
-    return kept.select("batch_id", "attempt", json_items(strip_fence("raw")).alias("items"))
+    return kept if answer == "items" else with_items(kept).drop("raw")
 
 
 def _field(item: Column, name: str) -> Column:
@@ -86,7 +98,7 @@ def result_rows(usable: DataFrame) -> DataFrame:
     """One row per object in the usable answers; items that are no objects are dropped."""
     item = F.col("item")
     return (
-        usable.select("batch_id", "attempt", F.posexplode("items").alias("item_no", "item"))
+        usable.select("batch_id", "attempt", F.posexplode_outer("items").alias("item_no", "item"))
         .where(_members(item).isNotNull())
         .select("batch_id", "attempt", "item_no", *[_field(item, name) for name in RESULT_KEYS])
     )

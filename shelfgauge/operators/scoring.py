@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -117,43 +116,38 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 )
 
 
-def pre_score(rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
-    """100 less the points of the rules that fire, never below 0."""
-    lost = reduce(
-        lambda total, rule: total + F.when(rule.fires(), rule.points).otherwise(0),
-        rules,
-        F.lit(0),
-    )
-    return F.greatest(F.lit(0), F.lit(100) - lost)
-
-
-def _issues(rules: Sequence[Rule]) -> list[Column]:
-    return [F.when(rule.fires(), rule.issue()) for rule in rules]
-
-
-def _attributes(rules: Sequence[Rule]) -> list[Column]:
-    return [F.when(rule.fires(), F.lit(rule.attribute)) for rule in rules if rule.attribute]
-
-
 def with_pre_score(
     df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, *, lists: bool = False
 ) -> DataFrame:
     """Add ``pre_score``, ``pre_grade``, ``pre_issues`` and ``pre_missing_attributes``.
 
-    With ``lists`` the two texts are also added as arrays (``*_list``), which keep an
+    The score is 100 less the points of the rules that fire, never below 0. With
+    ``lists`` the two texts are also added as arrays (``*_list``), which keep an
     issue that itself contains ``;`` in one piece.
     """
+    # Each rule becomes a flag first, so that score and texts share one evaluation.
+    flags = {f"_fires_{rule.name}": rule for rule in rules}
+    lost = sum((F.when(F.col(flag), rule.points).otherwise(0) for flag, rule in flags.items()), F.lit(0))
+    issues = [F.when(F.col(flag), rule.issue()) for flag, rule in flags.items()]
+    attributes = [
+        F.when(F.col(flag), F.lit(rule.attribute)) for flag, rule in flags.items() if rule.attribute
+    ]
     added = {
-        "pre_score": pre_score(rules),
-        "pre_issues": join_present(_issues(rules), "None"),
-        "pre_missing_attributes": join_present(_attributes(rules), "None"),
+        "pre_score": F.greatest(F.lit(0), F.lit(100) - lost),
+        "pre_issues": join_present(issues, "None"),
+        "pre_missing_attributes": join_present(attributes, "None"),
     }
     if lists:
-        added["pre_issues_list"] = F.array_compact(F.array(*_issues(rules)))
-        added["pre_missing_attributes_list"] = F.array_compact(F.array(*_attributes(rules)))
-    scored = df.withColumns(added).withColumn("pre_grade", grade_of("pre_score"))
+        added["pre_issues_list"] = F.array_compact(F.array(*issues))
+        added["pre_missing_attributes_list"] = F.array_compact(F.array(*attributes))
     last = ["pre_score", "pre_grade", *[name for name in added if name != "pre_score"]]
-    return scored.select(*[f"`{name}`" for name in df.columns if name not in last], *last)
+    own = [name for name in df.columns if name not in last]
+    return (
+        df.withColumns({flag: rule.fires() for flag, rule in flags.items()})
+        .withColumns(added)
+        .withColumn("pre_grade", grade_of("pre_score"))
+        .select(*[f"`{name}`" for name in own], *last)
+    )
 
 
 def flaw_profile(df: DataFrame) -> DataFrame:
