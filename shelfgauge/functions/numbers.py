@@ -34,5 +34,9 @@ def to_score(value: Column | str) -> Column:
 
 
 def round_tenth(value: Column) -> Column:
-    """Half-even rounding to one decimal."""
+    """Half-even rounding to one decimal.
+
+    Ties are judged on the decimal text of the double, where Python's ``round`` looks at
+    the binary value: 73.35 becomes 73.4 here and 73.3 there.
+    """
     return F.bround(value, 1)

@@ -1,0 +1,148 @@
+import pytest
+from conftest import LONG
+from pyspark.sql import functions as F
+
+from shelfgauge.operators import (
+    DEFAULT_RULES,
+    Rule,
+    flaw_profile,
+    pre_grade_profile,
+    with_pre_score,
+)
+
+FLAWED = {
+    "title": "Scarf",
+    "material": None,
+    "colour": " ",
+    "description": None,
+    "price": None,
+    "keywords": "",
+    "stock_status": "　",
+}
+
+CASES = [
+    ({}, 100, "A", "None", "None"),
+    (FLAWED, 15, "F", None, "material; colour; description; keywords; price; stock_status"),
+    ({"material": " "}, 80, "B", "Missing material", "material"),
+    ({"colour": " navy/blue "}, 90, "A", "Ambiguous colour value: 'navy/blue'", "None"),
+    ({"colour": "red & blue"}, 90, "A", "Ambiguous colour value: 'red & blue'", "None"),
+    ({"colour": ""}, 90, "A", "Missing colour", "colour"),
+    ({"description": "one two"}, 85, "B", "Description too short (2 words, need ≥20)", "None"),
+    (
+        {"description": " ".join(["w"] * 19)},
+        85,
+        "B",
+        "Description too short (19 words, need ≥20)",
+        "None",
+    ),
+    ({"description": LONG}, 100, "A", "None", "None"),
+    ({"description": LONG + " more"}, 100, "A", "None", "None"),
+    ({"description": "  "}, 85, "B", "Missing description", "description"),
+    ({"title": "Wool Scarf"}, 90, "A", "Title missing gender indicator", "None"),
+    ({"title": None}, 90, "A", "Title missing gender indicator", "None"),
+    ({"title": "Men’s Scarf"}, 90, "A", "Title missing gender indicator", "None"),
+    ({"title": "Box, dimensions 3x4"}, 100, "A", "None", "None"),
+    ({"title": "BOYS' UNISEX"}, 100, "A", "None", "None"),
+    ({"keywords": None}, 90, "A", "Missing keywords", "keywords"),
+    ({"price": "0"}, 85, "B", "Price is zero or negative", "None"),
+    ({"price": "-1.5"}, 85, "B", "Price is zero or negative", "None"),
+    ({"price": None}, 85, "B", "Missing or invalid price", "price"),
+    ({"price": ""}, 85, "B", "Missing or invalid price", "price"),
+    ({"price": "$12"}, 85, "B", "Missing or invalid price", "price"),
+    ({"price": "38d"}, 85, "B", "Missing or invalid price", "price"),
+    ({"price": "1,000"}, 85, "B", "Missing or invalid price", "price"),
+    ({"price": "1_000"}, 100, "A", "None", "None"),
+    ({"price": "nan"}, 100, "A", "None", "None"),
+    ({"price": " 3e2 "}, 100, "A", "None", "None"),
+    ({"stock_status": None}, 95, "A", "Missing stock_status", "stock_status"),
+]
+
+
+def test_cases(spark, feed_of):
+    feed = feed_of(*[{**case[0], "product_id": f"{at:03}"} for at, case in enumerate(CASES)])
+    rows = with_pre_score(feed).orderBy("product_id").collect()
+    for (product, score, grade, issues, missing), row in zip(CASES, rows):
+        assert (row.pre_score, row.pre_grade) == (score, grade), product
+        assert row.pre_missing_attributes == missing, product
+        assert issues is None or row.pre_issues == issues, product
+
+
+def test_issues_keep_rule_order(spark, feed_of):
+    row = with_pre_score(feed_of(FLAWED), lists=True).first()
+    assert row.pre_issues_list == [
+        "Missing material",
+        "Missing colour",
+        "Missing description",
+        "Title missing gender indicator",
+        "Missing keywords",
+        "Missing or invalid price",
+        "Missing stock_status",
+    ]
+    assert row.pre_issues == "; ".join(row.pre_issues_list)
+    assert with_pre_score(feed_of({}), lists=True).first().pre_issues_list == []
+
+
+def test_columns_and_rows_are_kept(spark, feed_of):
+    feed = feed_of({}, FLAWED).withColumn("extra col", F.lit(1))
+    scored = with_pre_score(feed)
+    assert scored.columns == [
+        *feed.columns,
+        "pre_score",
+        "pre_grade",
+        "pre_issues",
+        "pre_missing_attributes",
+    ]
+    assert with_pre_score(scored).columns == scored.columns
+
+
+def test_own_rules_never_go_below_zero(spark, feed_of):
+    rule = Rule("no_sale", 150, lambda: F.col("category") == "Sale", lambda: F.lit("On sale"))
+    rows = with_pre_score(feed_of({}, {"category": "Sale"}), [*DEFAULT_RULES, rule]).collect()
+    assert sorted((row.pre_score, row.pre_issues) for row in rows) == [(0, "On sale"), (100, "None")]
+
+
+def test_score_is_100_less_the_points_of_fired_rules(spark, feed_of):
+    feed = feed_of(*[case[0] for case in CASES])
+    fired = [F.when(rule.fires(), rule.points).otherwise(0).alias(rule.name) for rule in DEFAULT_RULES]
+    for row in with_pre_score(feed).select("pre_score", *fired).collect():
+        assert row[0] == 100 - sum(row[1:])
+        assert 15 <= row[0] <= 100
+
+
+@pytest.mark.parametrize("lists", [False, True])
+def test_plan_has_no_shuffle_and_no_python(spark, feed_of, tmp_path, lists):
+    path = str(tmp_path / "feed")
+    feed_of({}).write.parquet(path)
+    plan = with_pre_score(spark.read.parquet(path), lists=lists)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_scan_reads_only_what_the_rules_need(spark, feed_of, tmp_path):
+    path = str(tmp_path / "feed")
+    feed_of({}).write.parquet(path)
+    scored = with_pre_score(spark.read.parquet(path)).select("pre_score")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "material" in schema
+    assert not any(name in schema for name in ("product_id", "season", "size_range", "category"))
+
+
+def test_flaw_profile(spark, feed_of):
+    feed = feed_of(
+        {},
+        FLAWED,
+        {"colour": "a/b", "price": " 0 "},
+        {"price": "0.0", "material": ""},
+        {"price": "0.00"},
+    )
+    assert flaw_profile(feed).first().asDict() == {
+        "missing_material": 2,
+        "ambiguous_colour": 1,
+        "missing_price": 3,
+        "missing_stock": 1,
+    }
+
+
+def test_grade_profile(spark, feed_of):
+    rows = pre_grade_profile(with_pre_score(feed_of({}, {"keywords": ""}, FLAWED))).collect()
+    assert sorted(map(tuple, rows)) == [("A", 2, 90, 100, 15, 100), ("F", 1, 15, 15, 15, 100)]
