@@ -1,7 +1,8 @@
 """Running a user-supplied model over all batches.
 
 The model is any function from a request text to an answer text. It is called inside
-Spark tasks; everything around the call (requests, checks, retries, stubs) is set-based.
+Spark tasks, so the executors must be able to load it; everything around the call
+(requests, checks, retries, stubs) is set-based.
 """
 
 from __future__ import annotations

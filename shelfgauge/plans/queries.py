@@ -85,37 +85,44 @@ def resolved_results(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(op.resolve_results(batched, answers(spark, folder)))
 
 
-def sample_scorer(request: str) -> str:
-    """A stand-in model: counts empty fields, and fails for some batches on purpose."""
-    strict = request.startswith("Output raw JSON")
-    line = next(line for line in request.split("\n") if line.startswith("["))
-    products = json.loads(line)
-    number = int(products[0]["product_id"][1:])
-    if number % 3 == 0 and not strict:
-        return "I could not read these products."
-    if number % 6 == 0:
-        raise TimeoutError("no answer")
-    results = []
-    for product in products:
-        empty = [name for name, value in product.items() if value is None]
-        results.append(
-            {
-                "product_id": product["product_id"],
-                "quality_score": 100 - 10 * len(empty),
-                "grade": "B",
-                "issues": [f"{name} is empty" for name in empty],
-                "missing_attributes": empty,
-                "suggested_title": "New " + product["title"],
-                "suggested_description": None,
-                "suggested_keywords": "a, b",
-                "improvement_priority": "Low",
-            }
-        )
-    return "```json\n" + json.dumps(results) + "\n```"
+def sample_model():
+    """A stand-in model: counts empty fields, and fails for some batches on purpose.
+
+    The function is local so that it travels to the executors by value.
+    """
+
+    def scorer(request: str) -> str:
+        strict = request.startswith("Output raw JSON")
+        line = next(line for line in request.split("\n") if line.startswith("["))
+        products = json.loads(line)
+        number = int(products[0]["product_id"][1:])
+        if number % 3 == 0 and not strict:
+            return "I could not read these products."
+        if number % 6 == 0:
+            raise TimeoutError("no answer")
+        results = []
+        for product in products:
+            empty = [name for name, value in product.items() if value is None]
+            results.append(
+                {
+                    "product_id": product["product_id"],
+                    "quality_score": 100 - 10 * len(empty),
+                    "grade": "B",
+                    "issues": [f"{name} is empty" for name in empty],
+                    "missing_attributes": empty,
+                    "suggested_title": "New " + product["title"],
+                    "suggested_description": None,
+                    "suggested_keywords": "a, b",
+                    "improvement_priority": "Low",
+                }
+            )
+        return "```json\n" + json.dumps(results) + "\n```"
+
+    return scorer
 
 
 def enrich_feed(spark: SparkSession, folder: str) -> DataFrame:
-    done = op.enrich(feed(spark, folder), sample_scorer)
+    done = op.enrich(feed(spark, folder), sample_model())
     return done.select(
         "product_id",
         "quality_score",
