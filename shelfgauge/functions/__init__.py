@@ -16,7 +16,6 @@ from shelfgauge.functions.text import (
     first_piece,
     has_words,
     is_missing,
-    join_present,
     split_list,
     strip,
     strip_fence,
@@ -30,7 +29,6 @@ __all__ = [
     "grade_of",
     "has_words",
     "is_missing",
-    "join_present",
     "or_dash",
     "parse_float",
     "priority_class",

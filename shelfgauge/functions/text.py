@@ -36,14 +36,14 @@ def _col(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    """Trim Unicode whitespace at both ends; looks at the edges only, so long texts are cheap."""
+    """Trim Unicode whitespace at both ends."""
     return F.trim(_col(value), F.lit(WHITESPACE))
 
 
 def is_missing(value: Column | str) -> Column:
-    """Null or blank text."""
+    """Null or blank text; decided at the first character that is no blank."""
     value = _col(value)
-    return value.isNull() | (strip(value) == "")
+    return value.isNull() | (F.ltrim(value, F.lit(WHITESPACE)) == "")
 
 
 def word_count(value: Column | str) -> Column:
@@ -85,12 +85,6 @@ def first_piece(value: Column | str) -> Column:
     return F.when(empty, "N/A").otherwise(strip(F.substring_index(value, ";", 1)))
 
 
-def join_present(pieces: Iterable[Column], empty: str) -> Column:
-    """Join the non-null pieces with ``"; "``; ``empty`` when all are null."""
-    joined = F.concat_ws("; ", *pieces)
-    return F.when(joined == "", empty).otherwise(joined)
-
-
 def strip_fence(value: Column | str) -> Column:
     """Remove a Markdown code fence around a model answer."""
     text = strip(value)

@@ -28,18 +28,17 @@ def _ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Range-partition and sort so that even rows equal in every column can be split up.
 
     Rows with one key, or exact copies, may be a third of the feed. A content hash
-    and then a running number break the ties. The local sort before numbering makes
-    the number independent of the order in which rows arrive, so that a task that runs
+    and then a running number break the ties. The local sort by the hash makes that
+    number independent of the order in which rows arrive, so that a task that runs
     again after an executor is lost sends the same rows to the same places.
     """
-    keys = _keys(order)
     content = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
     stamped = (
         df.withColumn("_content", content)
-        .sortWithinPartitions(*keys, "_content")
+        .sortWithinPartitions("_content")
         .withColumn("_tie", F.monotonically_increasing_id())
     )
-    keys = [*keys, F.col("_content").asc(), F.col("_tie").asc()]
+    keys = [*_keys(order), F.col("_content").asc(), F.col("_tie").asc()]
     return stamped.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_content", "_tie")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,7 +18,6 @@ from shelfgauge.functions import (
     grade_of,
     has_words,
     is_missing,
-    join_present,
     parse_float,
     strip,
     word_count,
@@ -116,6 +116,17 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 )
 
 
+def _fired(texts: dict[str, Column]) -> list[Column]:
+    """Each text where its flag is set, else null."""
+    return [F.when(F.col(flag), text) for flag, text in texts.items()]
+
+
+def _joined(texts: dict[str, Column]) -> Column:
+    """The fired texts with ``"; "`` between them, or ``None`` if no flag is set."""
+    any_fired = reduce(lambda left, flag: left | F.col(flag), texts, F.lit(False))
+    return F.concat_ws("; ", *_fired(texts), F.when(~any_fired, "None"))
+
+
 def with_pre_score(
     df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, *, lists: bool = False
 ) -> DataFrame:
@@ -127,19 +138,19 @@ def with_pre_score(
     """
     # Each rule becomes a flag first, so that score and texts share one evaluation.
     flags = {f"_fires_{rule.name}": rule for rule in rules}
-    lost = sum((F.when(F.col(flag), rule.points).otherwise(0) for flag, rule in flags.items()), F.lit(0))
-    issues = [F.when(F.col(flag), rule.issue()) for flag, rule in flags.items()]
-    attributes = [
-        F.when(F.col(flag), F.lit(rule.attribute)) for flag, rule in flags.items() if rule.attribute
-    ]
+    lost = sum(
+        (F.when(F.col(flag), rule.points).otherwise(0) for flag, rule in flags.items()), F.lit(0)
+    )
+    issues = {flag: rule.issue() for flag, rule in flags.items()}
+    attributes = {flag: F.lit(rule.attribute) for flag, rule in flags.items() if rule.attribute}
     added = {
         "pre_score": F.greatest(F.lit(0), F.lit(100) - lost),
-        "pre_issues": join_present(issues, "None"),
-        "pre_missing_attributes": join_present(attributes, "None"),
+        "pre_issues": _joined(issues),
+        "pre_missing_attributes": _joined(attributes),
     }
     if lists:
-        added["pre_issues_list"] = F.array_compact(F.array(*issues))
-        added["pre_missing_attributes_list"] = F.array_compact(F.array(*attributes))
+        added["pre_issues_list"] = F.array_compact(F.array(*_fired(issues)))
+        added["pre_missing_attributes_list"] = F.array_compact(F.array(*_fired(attributes)))
     last = ["pre_score", "pre_grade", *[name for name in added if name != "pre_score"]]
     own = [name for name in df.columns if name not in last]
     return (

@@ -70,7 +70,7 @@ def find_products(df: DataFrame, ids: DataFrame | Iterable[str], *first_by: str)
     """
     wanted = df.withColumn("product_id", F.col("product_id").cast("string"))
     if isinstance(ids, DataFrame):
-        wanted = wanted.join(ids.select("product_id"), "product_id", "left_semi")
+        wanted = wanted.join(ids.select("product_id").distinct(), "product_id", "left_semi")
     else:
         wanted = wanted.where(F.col("product_id").isin([str(value) for value in ids]))
     rest = [name for name in df.columns if name not in ("product_id", *first_by)]

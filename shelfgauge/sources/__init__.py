@@ -10,12 +10,13 @@ from shelfgauge.sources.feed_csv import (
     require_columns,
     write_feed,
 )
-from shelfgauge.sources.shared_tables import new_path, shared_folder, store
+from shelfgauge.sources.shared_tables import drop_folder, new_path, shared_folder, store
 
 __all__ = [
     "clean_feed",
     "column_status",
     "conform",
+    "drop_folder",
     "export_columns",
     "new_path",
     "normalise_headers",

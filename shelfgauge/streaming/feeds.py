@@ -16,6 +16,7 @@ from shelfgauge.operators.enrichment import Scorer, enrich
 from shelfgauge.operators.scoring import DEFAULT_RULES, Rule, with_pre_score
 from shelfgauge.schema import FEED_SCHEMA
 from shelfgauge.sources.feed_csv import READ_OPTIONS, WRITE_OPTIONS, clean_feed, export_columns
+from shelfgauge.sources.shared_tables import drop_folder, new_path
 
 
 def stream_feed(
@@ -61,11 +62,18 @@ def write_enriched(
     """Writer that enriches each micro-batch into ``out/epoch=<id>``.
 
     A micro-batch that is repeated after a failure overwrites its own folder, so each
-    product is written once.
+    product is written once. Its intermediate tables are dropped when it is written.
     """
 
     def run(frame: DataFrame, epoch: int) -> None:
-        enriched = enrich(frame, scorer, batch_size=batch_size, order=order, **options)
-        export_columns(enriched).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        spark = frame.sparkSession
+        folder = new_path(spark, "epoch")
+        try:
+            enriched = enrich(
+                frame, scorer, batch_size=batch_size, order=order, folder=folder, **options
+            )
+            export_columns(enriched).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        finally:
+            drop_folder(spark, folder)
 
     return feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -139,3 +139,47 @@ def test_hot_branch_disappears_when_there_is_none(spark, feed_of, tmp_path):
     plan = merged._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert final.count("FileScan parquet") == 1
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.fixture
+def small_partitions(spark):
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    yield
+    for key in SKEW:
+        spark.conf.unset(key)
+
+
+def _rows(spark, n, hot, columns):
+    """``n`` rows, a third of them with one id if ``hot``."""
+    own = F.concat(F.lit("p"), F.col("id").cast("string"))
+    key = F.when(F.col("id") % 3 == 0, "p1").otherwise(own) if hot else own
+    filler = F.sha2(F.col("id").cast("string"), 256)
+    return spark.range(n).repartition(8).select(
+        key.alias("product_id"), *[filler.alias(name) for name in columns]
+    )
+
+
+@pytest.mark.parametrize("side", ["feed", "results"])
+def test_a_hot_id_is_split_on_either_side(spark, small_partitions, side):
+    feed = _rows(spark, 9000, side == "feed", [c for c in GOOD if c != "product_id"])
+    results = _rows(spark, 9000, side == "results", ["suggested_title", "suggested_keywords"])
+    merged = merge_results(feed, results, hot_rows=1000)
+    rows = merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin(skew=true)" in plan
+    # ids with % 3 == 0 exist on one side only, except that all of them are "p1" on the other
+    matched = sum(row.suggested_title != "" for row in rows)
+    if side == "feed":
+        assert (len(rows), matched) == (9000, 9000)
+    else:
+        assert (len(rows), matched) == (9000 + 3000, 9000)

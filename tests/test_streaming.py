@@ -1,4 +1,5 @@
 import json
+import pathlib
 import sys
 
 from conftest import GOOD
@@ -6,7 +7,7 @@ from pyspark import cloudpickle
 
 from shelfgauge.operators import merge_results, with_pre_score
 from shelfgauge.schema import FEED_SCHEMA, REQUIRED_COLUMNS, RESULT_KEYS
-from shelfgauge.sources import read_feed, write_feed
+from shelfgauge.sources import read_feed, shared_folder, write_feed
 from shelfgauge.streaming import stream_feed, write_enriched, write_scores
 
 # the executors cannot import the test modules
@@ -62,6 +63,7 @@ def model(request):
 
 
 def test_enriched_stream(spark, tmp_path):
+    before = set(pathlib.Path(shared_folder(spark)).glob("shelfgauge/*"))
     source, out, log = (str(tmp_path / name) for name in ("in", "out", "log"))
     for name, first in (("a", 0), ("b", 100)):
         write_file(spark, source, name, first)
@@ -74,3 +76,5 @@ def test_enriched_stream(spark, tmp_path):
         "product_id", "'77' as quality_score", "'' as issues", "'' as missing_attributes"
     )
     assert table(rows.drop("epoch")) == table(merge_results(feed, results))
+    # nothing is left of the intermediate tables
+    assert set(pathlib.Path(shared_folder(spark)).glob("shelfgauge/*")) == before
