@@ -16,7 +16,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfgauge.operators.batching import BATCH_COLUMNS, with_batch_id
 from shelfgauge.operators.merging import merge_results
 from shelfgauge.operators.requests import PROMPT, STRICT_PROMPT, batch_requests
-from shelfgauge.operators.responses import parse_responses, resolve_results, validate_responses
+from shelfgauge.operators.responses import (
+    parse_responses,
+    result_rows,
+    stub_rows,
+    validate_responses,
+    with_items,
+)
 from shelfgauge.schema import RESPONSE_SCHEMA
 from shelfgauge.sources.shared_tables import store
 
@@ -98,10 +104,18 @@ def analyse(
         requests = requests.select("batch_id", "n", F.col(text).alias("request"))
         return ask_model(requests, scorer, attempt, pause=pause, folder=folder)
 
+    def rows_of(responses: DataFrame, condition: Column) -> DataFrame:
+        ids = responses.where(condition).select("batch_id")
+        return batched.join(ids, "batch_id", "left_semi")
+
+    # Every batch has one first answer, and every rejected batch one second answer. So
+    # the joins can go by the batches that failed, which are few, and no answer text
+    # needs a shuffle to find out which one counts.
+    empty = F.coalesce("n_items", F.lit(0)) == 0
     first = ask(batched, 1, "prompt")
-    accepted = first.where("valid").select("batch_id")
-    second = ask(batched.join(accepted, "batch_id", "left_anti"), 2, "strict_prompt")
-    return resolve_results(batched, first.unionByName(second))
+    second = ask(rows_of(first, ~F.col("valid")), 2, "strict_prompt")
+    usable = first.where("valid").unionByName(second.where(~empty))
+    return result_rows(with_items(usable)).unionByName(stub_rows(rows_of(second, empty)))
 
 
 def enrich(
