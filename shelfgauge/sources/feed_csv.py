@@ -16,7 +16,8 @@ READ_OPTIONS = {
     "multiLine": "true",
     "mode": "PERMISSIVE",
     "encoding": "UTF-8",
-    "enforceSchema": "true",
+    # every file's header is compared with the first one's
+    "enforceSchema": "false",
 }
 
 #: Blank and null cells are written as nothing between two commas.
@@ -80,17 +81,36 @@ def conform(df: DataFrame) -> DataFrame:
     return clean_feed(require_columns(normalise_headers(df)))
 
 
+def _spark_renamed(columns: list[str]) -> bool:
+    """Whether Spark made up column names: for nameless columns, or to tell equal names apart."""
+    stems = [
+        name.removesuffix(str(at)) if name.endswith(str(at)) else "" for at, name in enumerate(columns)
+    ]
+    return any(
+        name == f"_c{at}" or (stem and stems.count(stem) > 1)
+        for at, (name, stem) in enumerate(zip(columns, stems))
+    )
+
+
 def read_feed(
     spark: SparkSession, path: str | list[str], *, line_breaks_in_cells: bool = True
 ) -> DataFrame:
     """Read CSV feeds as text.
 
+    Files read together must have the same header; a file that differs stops the run
+    instead of being read into the wrong columns. Read such files apart and union
+    them by name.
+
     ``line_breaks_in_cells=False`` lets Spark split large files between tasks. Use it
     for feeds known to keep each product on one line; otherwise a file is one task,
     and the work is spread over the files.
     """
     options = {**READ_OPTIONS, "multiLine": str(line_breaks_in_cells).lower()}
-    return conform(spark.read.options(**options).csv(path))
+    raw = spark.read.options(**options).csv(path)
+    if _spark_renamed(raw.columns):
+        # made-up names are in no file, so there is nothing to compare
+        raw = spark.read.options(**{**options, "enforceSchema": "true"}).csv(path)
+    return conform(raw)
 
 
 def export_columns(df: DataFrame) -> DataFrame:

@@ -22,9 +22,12 @@ from shelfgauge.sources.shared_tables import drop_folder, new_path
 def stream_feed(
     spark: SparkSession, folder: str, *, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Cleaned stream of the CSV files in ``folder``, whose headers must be the contract columns."""
-    # A stream has one fixed schema; files with other headers are an error, not a reordering.
-    options = {**READ_OPTIONS, "enforceSchema": "false"}
+    """Cleaned stream of the CSV files in ``folder``.
+
+    A stream has one fixed schema, so the headers must be the contract columns in their
+    order; a file with another header stops the stream.
+    """
+    options = dict(READ_OPTIONS)
     if files_per_trigger:
         options["maxFilesPerTrigger"] = str(files_per_trigger)
     return clean_feed(spark.readStream.schema(FEED_SCHEMA).options(**options).csv(folder))

@@ -2,8 +2,10 @@ import json
 import pathlib
 import sys
 
+import pytest
 from conftest import GOOD
 from pyspark import cloudpickle
+from pyspark.errors import StreamingQueryException
 
 from shelfgauge.operators import merge_results, with_pre_score
 from shelfgauge.schema import FEED_SCHEMA, REQUIRED_COLUMNS, RESULT_KEYS
@@ -78,3 +80,15 @@ def test_enriched_stream(spark, tmp_path):
     assert table(rows.drop("epoch")) == table(merge_results(feed, results))
     # nothing is left of the intermediate tables
     assert set(pathlib.Path(shared_folder(spark)).glob("shelfgauge/*")) == before
+
+
+def test_stream_stops_at_a_wrong_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    header = ",".join(reversed(REQUIRED_COLUMNS))
+    (tmp_path / "in" / "a.csv").write_text(f"{header}\n{','.join('x' * 12)}\n")
+    stream = stream_feed(spark, str(tmp_path / "in"))
+    query = write_scores(stream, str(tmp_path / "out"), str(tmp_path / "log")).trigger(
+        availableNow=True
+    )
+    with pytest.raises(StreamingQueryException):
+        query.start().awaitTermination()
