@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from shelfgauge.functions.text import _col, split_list, strip
+from shelfgauge.functions.text import WHITESPACE, _col, split_list, strip
 
 
 def _steps(value: Column, steps: tuple[tuple[int, str], ...], rest: str) -> Column:
@@ -44,9 +44,14 @@ def shown_issues(issues: Column | str) -> Column:
 
 
 def shows_nothing(value: Column | str) -> Column:
-    """Display rule for the MISSING badge: blank, or the text of a missing or zero number."""
-    trimmed = strip(value)
-    return trimmed.isNull() | trimmed.isin("", "nan", "0", "0.0")
+    """Display rule for the MISSING badge: blank, or the text of a missing or zero number.
+
+    Equal to a test of the trimmed text; long texts are told apart by their first character.
+    """
+    value = _col(value)
+    lead = F.ltrim(value, F.lit(WHITESPACE))
+    number = lead.startswith("0") | lead.startswith("nan")
+    return value.isNull() | (lead == "") | (number & strip(value).isin("nan", "0", "0.0"))
 
 
 def or_dash(value: Column | str) -> Column:

@@ -34,6 +34,7 @@ from shelfgauge.operators.summary import (
 from shelfgauge.operators.views import (
     before_after,
     find_products,
+    first_products,
     missing_badges,
     preview,
     product_badges,
@@ -55,6 +56,7 @@ __all__ = [
     "by_category",
     "enrich",
     "find_products",
+    "first_products",
     "first_results",
     "flaw_profile",
     "grade_distribution",

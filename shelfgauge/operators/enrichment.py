@@ -41,8 +41,11 @@ def _ask(scorer: Scorer, attempt: int, pause: float):
                 answer, error = None, None
                 try:
                     answer = scorer(request)
+                    if answer is not None:
+                        answer.encode()  # text only, and text that can be stored
                 except Exception as failure:
                     # A failed call counts as an unusable answer; the batch is asked again.
+                    answer = None
                     error = f"{type(failure).__name__}: {failure}"
                 answers.append(answer)
                 errors.append(error)
@@ -125,13 +128,16 @@ def enrich(
     batch_size: int = 8,
     order: Sequence[str | Column] = ("product_id",),
     folder: str | None = None,
+    first_by: tuple[str, ...] = (),
     **options,
 ) -> DataFrame:
     """Batch a feed, run the model over it and merge the results back.
 
+    An id that several products share has several results, and every such product gets
+    all of them; ``first_by=("batch_id", "item_no")`` keeps the first result per id.
     ``options`` are those of :func:`analyse`.
     """
     batched = with_batch_id(feed, batch_size, order, folder)
     # The merge reads the results more than once, so the answers are parsed into a table.
     results = store(analyse(batched, scorer, folder=folder, **options), "results", folder)
-    return merge_results(batched.drop(*BATCH_COLUMNS), results)
+    return merge_results(batched.drop(*BATCH_COLUMNS), results, first_by=first_by)

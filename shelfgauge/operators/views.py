@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfgauge.functions import (
     or_dash,
@@ -61,6 +61,11 @@ def title_comparison(enriched: DataFrame) -> DataFrame:
     )
 
 
+def first_products(df: DataFrame, n: int, order: Sequence[str | Column] = ("product_id",)) -> DataFrame:
+    """The first ``n`` rows in the given order."""
+    return df.orderBy(*order).limit(n)
+
+
 def find_products(df: DataFrame, ids: DataFrame | Iterable[str], *first_by: str) -> DataFrame:
     """The products with the given ids, the first row where an id repeats.
 
@@ -82,36 +87,38 @@ def find_products(df: DataFrame, ids: DataFrame | Iterable[str], *first_by: str)
 
 def missing_badges(feed: DataFrame) -> DataFrame:
     """The contract fields of each product that a detail view marks as missing."""
-    flags = [F.when(shows_nothing(name), F.lit(name)) for name in REQUIRED_COLUMNS]
-    count = sum((flag.isNotNull().cast("int") for flag in flags), F.lit(0))
+    flags = {f"_missing_{name}": name for name in REQUIRED_COLUMNS}
+    count = sum((F.col(flag).cast("int") for flag in flags), F.lit(0))
+    names = [F.when(F.col(flag), F.lit(name)) for flag, name in flags.items()]
     return feed.select(
-        "product_id", F.concat_ws(", ", *flags).alias("missing_fields"), count.alias("n_missing")
+        "product_id", *[shows_nothing(name).alias(flag) for flag, name in flags.items()]
+    ).select(
+        "product_id", F.concat_ws(", ", *names).alias("missing_fields"), count.alias("n_missing")
     )
 
 
 def before_after(enriched: DataFrame) -> DataFrame:
     """Long form of all products: 12 supplier fields, then 4 model fields, ready to show."""
-    before = [
+    sides = [("before", name) for name in REQUIRED_COLUMNS]
+    sides += [("after", name) for name in ENRICHED_FIELDS]
+    cells = [
         F.struct(
-            F.lit("before").alias("side"),
+            F.lit(side).alias("side"),
             F.lit(at).alias("field_no"),
             F.lit(name).alias("field"),
-            or_dash(F.col(name).cast("string")).alias("value"),
-            shows_nothing(F.col(name).cast("string")).alias("missing"),
+            F.col(name).cast("string").alias("raw"),
         )
-        for at, name in enumerate(REQUIRED_COLUMNS)
+        for at, (side, name) in enumerate(sides)
     ]
-    after = [
-        F.struct(
-            F.lit("after").alias("side"),
-            F.lit(at).alias("field_no"),
-            F.lit(name).alias("field"),
-            strip(or_dash(F.col(name).cast("string"))).alias("value"),
-            F.lit(False).alias("missing"),
-        )
-        for at, name in enumerate(ENRICHED_FIELDS, len(REQUIRED_COLUMNS))
-    ]
-    return enriched.select("product_id", F.inline(F.array(*before, *after)))
+    before, shown = F.col("side") == "before", or_dash("raw")
+    return enriched.select("product_id", F.inline(F.array(*cells))).select(
+        "product_id",
+        "side",
+        "field_no",
+        "field",
+        F.when(before, shown).otherwise(strip(shown)).alias("value"),
+        (before & shows_nothing("raw")).alias("missing"),
+    )
 
 
 def product_badges(enriched: DataFrame) -> DataFrame:

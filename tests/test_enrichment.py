@@ -128,3 +128,21 @@ def test_sample_model(spark, feed_of):
     feed = feed_of({"product_id": "P1", "keywords": None}).withColumn("n", F.lit(None).cast("int"))
     row = enrich(feed, sample_model()).first()
     assert (row.quality_score, row.issues) == (80, "keywords is empty; n is empty")
+
+
+def test_answers_that_are_no_text_are_unusable(spark, feed_of):
+    def reply(request):
+        products = products_of(request)
+        if products[0]["product_id"] == "000":
+            return [1]
+        return "\ud800" if products[0]["product_id"] == "001" else answer(products)
+
+    grades = {r.product_id: r.grade for r in enrich(feed_of_ids(feed_of, 3), reply, batch_size=1).collect()}
+    assert grades == {"000": "F", "001": "F", "002": "D"}
+
+
+def test_shared_ids(spark, feed_of):
+    feed = feed_of({"title": "a"}, {"title": "b"})
+    assert enrich(feed, lambda r: answer(products_of(r))).count() == 4
+    once = enrich(feed, lambda r: answer(products_of(r)), first_by=("batch_id", "item_no"))
+    assert sorted(r.title for r in once.collect()) == ["a", "b"]

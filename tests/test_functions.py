@@ -134,6 +134,9 @@ def test_display_values(spark):
     texts = [None, "", " ", "nan", " 0 ", "0.0", "0.00", "None", "x"]
     assert evaluate(spark, texts, shows_nothing("c")) == [True] * 6 + [False] * 3
     assert evaluate(spark, texts, or_dash("c"))[:4] == ["—", "—", " ", "—"]
+    more = ["\u3000nan\t", "nano", "00", "0 0", "0.0 ", "\u2003", "n", ""]
+    got = evaluate(spark, more, shows_nothing("c"))
+    assert got == [not t.strip() or t.strip() in ("nan", "0", "0.0") for t in more]
     got = evaluate(spark, ["HIGH", "Medium", "low", "urgent", None], priority_class("c"))
     assert got == ["high", "medium", "low", "low", "low"]
 

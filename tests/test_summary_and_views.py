@@ -6,6 +6,7 @@ from shelfgauge.functions import strip
 from shelfgauge.operators import (
     before_after,
     find_products,
+    first_products,
     grade_distribution,
     merge_results,
     missing_attribute_frequency,
@@ -138,6 +139,12 @@ def test_title_comparison_skips_blank_suggestions(enriched):
     assert rows.count() == 29
 
 
+def test_first_products_is_a_top_k(enriched):
+    first = first_products(enriched, 3, [F.desc("product_id")])
+    assert [r.product_id for r in first.collect()] == ["P59", "P58", "P57"]
+    assert "TakeOrdered" in first._jdf.queryExecution().executedPlan().toString()
+
+
 def test_find_products(spark, feed_of):
     feed = feed_of(
         {"product_id": "1", "title": "b"},
