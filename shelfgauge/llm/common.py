@@ -1,11 +1,13 @@
-"""What several operators share: characters, tables, shared storage."""
+"""What several operators share: characters, tables, rows in and out of Arrow."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from shelfgauge.sources.shared_tables import store
 
@@ -30,18 +32,34 @@ def numbered(df: DataFrame, name: str, number: str = "row") -> DataFrame:
     return store(df.withColumn(number, F.monotonically_increasing_id()), name)
 
 
-def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(name).to_pylist() for name in names]
+def pieces(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 256) -> Iterator[list[list]]:
+    """Columns as Python lists, few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield [part.column(part.schema.get_field_index(name)).to_pylist() for name in names]
 
 
-def rows_out(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most ``size`` rows from an iterator of tuples."""
+def map_rows(
+    df: DataFrame, schema: str, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]
+) -> DataFrame:
+    """``mapInArrow`` by a function from a partition's batches to row tuples of ``schema``."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return df.mapInArrow(lambda batches: _rows_out(rows_of(batches), arrow), schema)
+
+
+def _rows_out(
+    rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, bound: int = 1 << 23
+) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``size`` rows, or about ``bound`` characters, from tuples."""
     held: list[tuple] = []
+    weight = 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        weight += sum(len(value) for value in row if isinstance(value, (str, bytes)))
+        if len(held) >= size or weight >= bound:
             yield _batch(held, schema)
-            held = []
+            held, weight = [], 0
     if held:
         yield _batch(held, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgauge.llm import exact_dedup
+from shelfgauge.llm import exact_dedup, pii, quality_rules, simhash
 from shelfgauge.llm.common import table
 
 
@@ -12,6 +12,21 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_spans(table(spark, folder, "documents")).drop("redacted")
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge_lines(table(spark, folder, "documents"))
+
+
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pii": op2_pii,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_simhash": op6_simhash,
 }
