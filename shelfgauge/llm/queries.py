@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgauge.llm import exact_dedup, pii, quality_rules, simhash
+from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_rules, simhash, warc
 from shelfgauge.llm.common import table
 
 
@@ -24,9 +24,36 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(table(spark, folder, "documents"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.write_archive(table(spark, folder, "pages"))
+    return warc.read_archive(index).drop("payload")
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)]
+    turns = turns.unionByName(spark.createDataFrame(extra, turns.schema))
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in blocks of 16, each source to the root of its size."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.schedule(docs).select("doc.*", "block", "phase", "slot", "place", "weight")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
+    "op8_chat": op8_chat,
+    "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
