@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_rules, simhash, warc
+from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_model, quality_rules, simhash, warc
 from shelfgauge.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_lines(table(spark, folder, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality_model.score_quality(docs, labels)
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(table(spark, folder, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_quality_model": op5_quality_model,
     "op6_simhash": op6_simhash,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
