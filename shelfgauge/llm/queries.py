@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_model, quality_rules, simhash, warc
+from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, warc
 from shelfgauge.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archive(index).drop("payload")
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_quality_model": op5_quality_model,
     "op6_simhash": op6_simhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
