@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+from shelfgauge.llm.quality_rules import (
+    END,
+    LEAST_WORDS,
+    MENU_LINE,
+    MOST_LOST,
+    MOST_REPEATED,
+    NOTICE,
+    SHORT,
+    SYMBOLS,
+    WINDOW,
+)
+
+
+def _sql(pattern: str) -> str:
+    """A pattern as a string constant."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 OP1 = r"""
 with keyed as (
     select doc_id, length(coalesce(text, '')) as size,
@@ -22,6 +40,84 @@ select doc_id, keep_id, group_size, place = 1 as kept, text_sha256
 from ranked
 """
 
+# Repeats are counted over positions of five-word windows; a word is repeated if a window
+# over it is. Lines are judged as in the operator: symbols, shouts, ends, menus, notices.
+OP3 = rf"""
+with texts as (
+    select doc_id, coalesce(text, '') as text, row_number() over () as n from documents
+), words as (
+    select n, regexp_extract_all(text, '[^ \t\n\x0b\x0c\r]+') as w from texts
+), windows as (
+    select n, unnest(range(1, greatest(1, len(w) - {WINDOW - 2}))) as pos, w from words
+), hashed as (
+    select n, pos, w[pos:pos + {WINDOW - 1}] as five from windows
+), again as (
+    select n, pos from hashed qualify count(*) over (partition by n, five) > 1
+), repeats as (
+    select n, count(distinct place) as n_repeat_words
+    from (select n, unnest(range(pos, pos + {WINDOW})) as place from again)
+    group by n
+), lines as (
+    select n, pos, line, len(regexp_extract_all(line, '[^ \t\n\x0b\x0c\r]+')) as own
+    from (
+        select n, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
+        from texts
+    )
+), seen as (
+    select *, row_number() over (partition by n, line order by pos) > 1 as repeated,
+        regexp_matches(line, {_sql("(?i)" + NOTICE)}) as notice
+    from lines where own > 0
+), judged as (
+    select *, repeated or notice
+        or 4 * len(regexp_extract_all(line, {_sql("[" + SYMBOLS + "]")})) > own
+        or 2 * (length(line) - length(replace(line, '!', ''))) > own
+        or (own < {SHORT} and not regexp_matches(line, {_sql(END)}))
+        or regexp_matches(line, {_sql(MENU_LINE)}) as fails
+    from seen
+), lost as (
+    select n, sum(repeated::int) as n_dup_lines,
+        sum(case when fails and not notice then own else 0 end) as n_lost_words,
+        sum(case when fails then 0 else own end) as stay
+    from judged group by n
+), counted as (
+    select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+        len(regexp_extract_all(text, {_sql("[" + SYMBOLS + "]")})) as n_symbols,
+        coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0) as n_repeat_words,
+        coalesce(n_lost_words, 0)::bigint as n_lost_words, coalesce(stay, 0) as stay
+    from texts join words using (n) left join repeats using (n) left join lost using (n)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words,
+    n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed,
+    not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words)
+        and stay > 0 and 100 * n_lost_words <= {MOST_LOST} * n_words as kept
+from counted
+"""
+
+# Base32 of the SHA-1: each five bits of the digest pick a letter.
+OP4 = """
+with paid as (
+    select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes,
+        sha1(coalesce(html, '')) as hex,
+        max(page_id) over (partition by coalesce(html, '')) as last
+    from pages
+), bits as (
+    select *, array_to_string(list_transform(
+        range(1, 41), lambda i: right(bin(16 + strpos('0123456789abcdef', hex[i]) - 1), 4)), '') as b
+    from paid
+)
+select page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1
+            + 16 * b[5 * i + 1]::int + 8 * b[5 * i + 2]::int + 4 * b[5 * i + 3]::int
+            + 2 * b[5 * i + 4]::int + b[5 * i + 5]::int]), '') as payload_digest,
+    case when page_id = last then 'response' else 'revisit' end as record_type,
+    case when page_id = last then null else last end as refers_to
+from bits
+"""
+
 ORACLES = {
     "op1_exact_dedup": OP1,
+    "op3_quality_rules": OP3,
+    "op4_warc": OP4,
 }

@@ -37,13 +37,14 @@ END = r"""[.!?:;…。！？"'”’»)\]]\s*$"""
 MENU = r"(home|menu|login|log in|sign in|sign up|next|previous|back|search|about us|contact us|skip to content)"
 NOTICE = (
     r"(all rights reserved|licensed under|is licensed|copyright \(c\)|©|cookie policy|use of cookies"
-    r"|privacy policy|terms of (use|service)|click here|subscribe to|enable javascript)"
+    r"|privacy policy|terms of (?:use|service)|click here|subscribe to|enable javascript)"
 )
+MENU_LINE = rf"(?i)^\s*{MENU}(\s*[|>»•·/-]\s*.*|\s*)$"
 
 _WORD = re.compile(rf"[^{SPACE}]+")
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
 _END = re.compile(END)
-_MENU_LINE = re.compile(rf"^\s*{MENU}(\s*[|>»•·/-]\s*.*|\s*)$", re.IGNORECASE)
+_MENU_LINE = re.compile(MENU_LINE)
 _NOTICE = re.compile(NOTICE, re.IGNORECASE)
 
 

@@ -31,7 +31,7 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     index = warc.write_archive(table(spark, folder, "pages"))
-    return warc.read_archive(index).drop("payload")
+    return warc.read_archive(index).drop("payload", "record_id")
 
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,0 +1,80 @@
+from collections import Counter
+
+import brute
+import corpus_pipeline
+import pytest
+from test_packing import check, reference  # noqa: F401
+
+from shelfgauge.llm import mixing, quality_rules
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows after each stage, written and read again."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = [docs.collect()]
+    for place, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("stage") / str(place))
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        found.append(docs.collect())
+    return found
+
+
+def keyed(rows):
+    return {r.doc_id: r for r in rows}
+
+
+def test_quality_rules_decide_and_clean(stages):
+    before, after = stages[0], keyed(stages[1])
+    judged = {r.doc_id: quality_rules.judge(r.text or "") for r in before}
+    assert set(after) == {key for key, verdict in judged.items() if verdict[6]}
+    assert all(r.text == judged[key][-1] and r.n_chars == len(r.text) for key, r in after.items())
+
+
+def test_exact_copies_go(stages):
+    want = brute.exact([(r.doc_id, r.text) for r in stages[1]])
+    assert {r.doc_id for r in stages[2]} == {key for key, (_, _, kept, _) in want.items() if kept}
+
+
+def test_near_copies_go(stages):
+    want = brute.near([(r.doc_id, r.text) for r in stages[2]])
+    assert {r.doc_id for r in stages[3]} == {component for _, component in want.values()}
+
+
+def test_mixing_keeps_all_rows_in_scheduled_order(spark, stages):
+    assert Counter(map(tuple, stages[4])) == Counter(map(tuple, stages[3]))
+    docs = spark.createDataFrame(stages[3])
+    rows = mixing.schedule(docs).collect()
+    assert len(rows) == len(stages[3])
+
+
+def test_packing_holds_every_token(stages, reference):  # noqa: F811
+    check(stages[5], 1024, {r.doc_id: reference(r.text) for r in stages[4]})
+
+
+def test_columns_stay(stages):
+    assert all(rows[0].asDict().keys() == stages[0][0].asDict().keys() for rows in stages[:5])
+
+
+def test_run_is_the_stages_in_turn(spark, stages, folder):
+    rows = corpus_pipeline.run(spark, folder)
+    packed = lambda rows: Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
+    assert packed(rows.collect()) == packed(stages[5])
+
+
+def test_odd_documents_pass_through(spark):
+    rows = [
+        (1, None, "en", None, None), (None, "", None, "a", 0), (2, "x", "en", "a", 1),
+        *[(3, "Words that make a good line of text for this one test case.", "en", "a", 59)] * 2,
+        (None, "Another good line, whose words are not in any of the others.", None, None, 60),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for data, left in ((rows, [None, 3]), ([], [])):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted((r.doc_id for r in docs.collect()), key=str, reverse=False) == sorted(left, key=str)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(left)

@@ -1,0 +1,73 @@
+import random
+
+import brute
+
+from shelfgauge.llm import quality_rules
+
+PROSE = "The quick brown fox jumps over the lazy dog near the river bank today."
+
+
+def test_counts_equal_brute_force_on_random_texts():
+    draw = random.Random(2)
+    for _ in range(1500):
+        some = [draw.choice(["a", "b", "c", "é#", "　x", "|"]) for _ in range(draw.randint(0, 40))]
+        text = "".join(word + draw.choice([" ", " ", "\n", "\t", "\x0b"]) for word in some)
+        assert quality_rules.judge(text)[:6] == brute.quality(text), text
+
+
+def test_repeats_in_a_long_text():
+    words = [str(i) for i in range(200_000)] + ["a", "b", "c", "d", "e", "f"] * 2
+    assert quality_rules.repeated_words(words) == 12
+    assert quality_rules.repeated_words(["a"] * 100_000) == 100_000
+
+
+def kept(text):
+    return quality_rules.judge(text)[6]
+
+
+def left(text):
+    return quality_rules.judge(text)[-1]
+
+
+def test_lines_that_fail_go():
+    text = "\n".join(
+        [PROSE, "Home | News | About", "Login", "All rights reserved.", "BUY!! NOW!! CHEAP!! TODAY!!", PROSE, "Ends."]
+    )
+    assert left(text) == f"{PROSE}\nEnds."
+    assert kept(f"{PROSE}\n\nEach of these words stands here once, in a line of its own.")
+
+
+def test_texts_that_lose_too_much_are_rejected():
+    shouting = " ".join(f"WORD{i}!!" for i in range(30))
+    bars = " | ".join(f"word{i}" for i in range(30)) + "."
+    for junk in (shouting, bars, " ".join(f"w{i}$$$" for i in range(30))):
+        assert not kept(junk) and not kept(f"{PROSE}\n{junk}")
+    assert kept(PROSE) and not kept("Too few words here.")
+
+
+def test_notices_are_no_loss():
+    assert kept(f"{PROSE}\nThis work is licensed under the GNU General Public License, version 3, as published.")
+
+
+def test_rows_and_cleaning(docs_of):
+    docs = docs_of((1, PROSE), (1, PROSE), (None, None), (2, ""), (3, f"{PROSE}\nLogin"))
+    rows = quality_rules.judge_lines(docs).collect()
+    assert [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in rows] == [
+        (1, 14, False, True), (1, 14, False, True), (None, 0, True, False), (2, 0, True, False), (3, 15, False, True),
+    ]
+    out = quality_rules.clean(docs)
+    assert out.columns == docs.columns
+    assert [(r.doc_id, r.text) for r in out.collect()] == [(1, PROSE), (1, PROSE), (3, PROSE)]
+
+
+def test_empty(docs_of):
+    empty = docs_of("a").where("false")
+    assert quality_rules.judge_lines(empty).collect() == []
+    assert quality_rules.clean(empty).collect() == []
+
+
+def test_verdicts_follow_the_labels(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0")
+    rows = quality_rules.judge_lines(docs).join(labels, "doc_id").collect()
+    assert rows and not any(r.kept for r in rows)
