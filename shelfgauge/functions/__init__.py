@@ -9,7 +9,7 @@ from shelfgauge.functions.bands import (
     shown_issues,
     shows_nothing,
 )
-from shelfgauge.functions.numbers import parse_float, round_tenth, to_score
+from shelfgauge.functions.numbers import number_or_zero, parse_float, round_tenth, to_score
 from shelfgauge.functions.text import (
     WHITESPACE,
     contains_any,
@@ -29,6 +29,7 @@ __all__ = [
     "grade_of",
     "has_words",
     "is_missing",
+    "number_or_zero",
     "or_dash",
     "parse_float",
     "priority_class",

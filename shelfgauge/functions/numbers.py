@@ -8,6 +8,7 @@ from shelfgauge.functions.text import _col, strip
 
 _DIGITS = r"\d+(?:_\d+)*"
 _DECIMAL = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+_PLAIN = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 _NAMED = r"(?i)^[+-]?(?:inf|infinity)$"
 _NAN = r"(?i)^[+-]?nan$"
 
@@ -26,9 +27,18 @@ def parse_float(value: Column | str) -> Column:
     )
 
 
+def number_or_zero(value: Column | str) -> Column:
+    """Double of a plain decimal number, fractions kept; anything else becomes 0.
+
+    Unlike :func:`parse_float`, names of infinities and digit groups are no numbers here.
+    """
+    text = strip(_col(value).cast("string"))
+    return F.coalesce(F.when(text.rlike(_PLAIN), text.try_cast("double")), F.lit(0.0))
+
+
 def to_score(value: Column | str) -> Column:
-    """Whole number toward zero; anything that is no finite number becomes 0."""
-    number = _col(value).try_cast("double")
+    """Whole number toward zero; anything that is no plain decimal number becomes 0."""
+    number = number_or_zero(value)
     whole = F.when(F.abs(number) < F.lit(float(2**63)), number.try_cast("bigint"))
     return F.coalesce(whole, F.lit(0).cast("bigint"))
 

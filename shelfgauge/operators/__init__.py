@@ -1,7 +1,7 @@
 """Operators on feeds: scoring, batching, model results, merging, summaries and views."""
 
 from shelfgauge.operators.batching import batch_sizes, by_category, with_batch_id, with_position
-from shelfgauge.operators.enrichment import analyse, ask_model, enrich
+from shelfgauge.operators.enrichment import analyse, enrich, responses_of
 from shelfgauge.operators.merging import first_results, merge_results
 from shelfgauge.operators.requests import batch_products, batch_requests
 from shelfgauge.operators.responses import (
@@ -48,7 +48,6 @@ __all__ = [
     "Summary",
     "absent",
     "analyse",
-    "ask_model",
     "batch_products",
     "batch_requests",
     "batch_sizes",
@@ -69,6 +68,7 @@ __all__ = [
     "preview",
     "product_badges",
     "resolve_results",
+    "responses_of",
     "result_rows",
     "results_view",
     "stub_rows",

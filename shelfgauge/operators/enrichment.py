@@ -11,9 +11,9 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfgauge.operators.batching import BATCH_COLUMNS, with_batch_id
+from shelfgauge.operators.batching import BATCH_COLUMNS, OWN_NAME, with_batch_id
 from shelfgauge.operators.merging import merge_results
 from shelfgauge.operators.requests import PROMPT, STRICT_PROMPT, batch_requests
 from shelfgauge.operators.responses import (
@@ -24,10 +24,13 @@ from shelfgauge.operators.responses import (
     with_items,
 )
 from shelfgauge.schema import RESPONSE_SCHEMA
-from shelfgauge.sources.shared_tables import store
+from shelfgauge.sources.shared_tables import is_written, new_path, store_once
 
 Scorer = Callable[[str], str]
 
+#: Batches per calling task between two points at which answers are safe.
+WAVE_SIZE = 100
+
 
 def _ask(scorer: Scorer, attempt: int, pause: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,23 +65,56 @@ def _ask(scorer: Scorer, attempt: int, pause: float):
     return run
 
 
-def ask_model(
+def _in_waves(
     requests: DataFrame,
     scorer: Scorer,
     attempt: int,
+    folder: str,
     *,
-    pause: float = 0.0,
-    folder: str | None = None,
+    pause: float,
+    callers: int,
+    wave_size: int,
 ) -> DataFrame:
-    """Send ``(batch_id, n, request)`` rows to the model and store the checked answers.
+    """Send ``(batch_id, n, request)`` rows to the model, wave by wave, and store the answers.
 
-    Each task waits ``pause`` seconds between two calls. Answers are written before
-    anything reads them: the model is costly and need not answer twice alike, so it
-    must not be called again when a later step is recomputed.
+    The requests are written by wave. A wave has at most about ``wave_size`` batches per
+    calling task and is one job, whose answers lie at a fixed path once they are complete;
+    a run that is taken up again asks only the waves that are not. Answers are checked and
+    written before anything reads them: the model is costly and need not answer twice alike.
     """
-    answers = requests.mapInPandas(_ask(scorer, attempt, pause), RESPONSE_SCHEMA)
-    checked = validate_responses(parse_responses(answers)).drop("items")
-    return store(checked, f"responses-{attempt}", folder)
+    spark = requests.sparkSession
+    place = f"{folder}/responses-{attempt}"
+    asked = f"{folder}/requests-{attempt}"
+    if not is_written(spark, asked):
+        waves = max(1, -(-requests.count() // (callers * wave_size)))
+        wave = F.pmod(F.xxhash64("batch_id"), F.lit(waves)).cast("int")
+        requests.withColumn("wave", wave).write.mode("overwrite").partitionBy("wave").parquet(asked)
+    schema = f"{requests._jdf.schema().toDDL()}, wave int"
+    written = spark.read.schema(schema).parquet(asked)
+    found = written.select("wave").distinct().orderBy("wave").collect()  # a row per wave
+    for number in [row.wave for row in found] or [0]:
+        path = f"{place}/wave={number}"
+        if not is_written(spark, path):
+            wave = written.where(F.col("wave") == number).drop("wave")
+            wave = wave.repartition(callers, "batch_id")
+            answers = wave.mapInPandas(_ask(scorer, attempt, pause), RESPONSE_SCHEMA)
+            checked = validate_responses(parse_responses(answers)).drop("items")
+            checked.write.mode("overwrite").parquet(path)
+    return _stored_responses(spark, place)
+
+
+#: Answers as they are stored, with their checks.
+_STORED = "batch_id long, n long, attempt int, raw string, error string, n_items int, valid boolean"
+
+
+def _stored_responses(spark: SparkSession, place: str) -> DataFrame:
+    return spark.read.schema(f"{_STORED}, wave int").option("basePath", place).parquet(place).drop("wave")
+
+
+def responses_of(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored answers of the run in ``folder``, with the error texts of failed calls."""
+    first, second = (f"{folder}/responses-{attempt}" for attempt in (1, 2))
+    return _stored_responses(spark, first).unionByName(_stored_responses(spark, second))
 
 
 def analyse(
@@ -90,6 +126,7 @@ def analyse(
     strict_prompt: str = STRICT_PROMPT,
     pause: float = 0.0,
     callers: int | None = None,
+    wave_size: int = WAVE_SIZE,
     folder: str | None = None,
 ) -> DataFrame:
     """Results for every product of a feed with batch ids.
@@ -98,27 +135,34 @@ def analyse(
     the strict request; products of batches that still have none get stubs.
 
     ``callers`` is the number of tasks that call the model, by default the session's
-    shuffle partitions. With ``pause`` it bounds the call rate to ``callers / pause``.
+    shuffle partitions. With ``pause`` it bounds the call rate to ``callers / pause``. It
+    does not bound the partitions that build requests or read answers. Answers lie in
+    ``folder``; a second call with the same folder and feed takes up where the first ended.
     """
-    callers = callers or int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = batched.sparkSession
+    callers = callers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = folder or new_path(spark, "analysis")
+    requests = batch_requests(batched, columns, prompt, strict_prompt)
 
     def ask(rows: DataFrame, attempt: int, text: str) -> DataFrame:
-        requests = batch_requests(rows, columns, prompt, strict_prompt, callers)
-        requests = requests.select("batch_id", "n", F.col(text).alias("request"))
-        return ask_model(requests, scorer, attempt, pause=pause, folder=folder)
+        rows = rows.select("batch_id", "n", F.col(text).alias("request"))
+        return _in_waves(
+            rows, scorer, attempt, folder, pause=pause, callers=callers, wave_size=wave_size
+        )
 
-    def rows_of(responses: DataFrame, condition: Column) -> DataFrame:
-        ids = responses.where(condition).select("batch_id")
-        return batched.join(ids, "batch_id", "left_semi")
+    first = ask(requests, 1, "prompt")
+    failed = first.where(~F.col("valid")).select("batch_id")
+    again = batched.join(failed, "batch_id", "left_semi")
+    second = ask(batch_requests(again, columns, prompt, strict_prompt), 2, "strict_prompt")
 
     # Every batch has one first answer, and every rejected batch one second answer. So
-    # the joins can go by the batches that failed, which are few, and no answer text
-    # needs a shuffle to find out which one counts.
+    # the joins go by the batches that failed, which are few, and no answer text needs a
+    # shuffle to find out which one counts.
     empty = F.coalesce("n_items", F.lit(0)) == 0
-    first = ask(batched, 1, "prompt")
-    second = ask(rows_of(first, ~F.col("valid")), 2, "strict_prompt")
     usable = first.where("valid").unionByName(second.where(~empty))
-    return result_rows(with_items(usable)).unionByName(stub_rows(rows_of(second, empty)))
+    without = second.where(empty).select("batch_id")
+    stubs = stub_rows(batched.join(without, "batch_id", "left_semi"))
+    return result_rows(with_items(usable)).unionByName(stubs)
 
 
 def enrich(
@@ -128,16 +172,25 @@ def enrich(
     batch_size: int = 8,
     order: Sequence[str | Column] = ("product_id",),
     folder: str | None = None,
-    first_by: tuple[str, ...] = (),
+    first_by: tuple[str, ...] = ("batch_id", "item_no"),
     **options,
 ) -> DataFrame:
     """Batch a feed, run the model over it and merge the results back.
 
-    An id that several products share has several results, and every such product gets
-    all of them; ``first_by=("batch_id", "item_no")`` keeps the first result per id.
-    ``options`` are those of :func:`analyse`.
+    Every product gets the first result with its id, so the output has as many rows as
+    the feed; with ``first_by=()`` an id that k products share gives k * k rows, as a
+    plain left join does. ``options`` are those of :func:`analyse`.
+
+    All tables of the run lie in ``folder``. Called again with the same folder, feed and
+    arguments, it asks only what has no stored answer; remove the folder when the result
+    is written. Feed columns with the name of a batch column keep their name and values.
     """
-    batched = with_batch_id(feed, batch_size, order, folder)
+    spark = feed.sparkSession
+    folder = folder or new_path(spark, "enrichment")
+    moved = {name: f"{OWN_NAME}{name}" for name in BATCH_COLUMNS if name in feed.columns}
+    order = [moved.get(key, key) if isinstance(key, str) else key for key in order]
+    batched = with_batch_id(feed.withColumnsRenamed(moved), batch_size, order, folder, fixed=True)
     # The merge reads the results more than once, so the answers are parsed into a table.
-    results = store(analyse(batched, scorer, folder=folder, **options), "results", folder)
-    return merge_results(batched.drop(*BATCH_COLUMNS), results, first_by=first_by)
+    results = store_once(analyse(batched, scorer, folder=folder, **options), f"{folder}/results")
+    merged = merge_results(batched.drop(*BATCH_COLUMNS), results, first_by=first_by)
+    return merged.withColumnsRenamed({new: old for old, new in moved.items()})

@@ -9,8 +9,6 @@ from shelfgauge.schema import MODEL_COLUMNS, MODEL_DEFAULTS
 
 #: Results per product id from which an id is joined apart from the others.
 HOT_ROWS = 1_000_000
-#: At most so many ids are joined apart; the rest takes the ordinary join.
-MAX_HOT_IDS = 1_000
 
 _LISTS = ("issues", "missing_attributes")
 
@@ -48,23 +46,30 @@ def merge_results(
     results: DataFrame,
     *,
     first_by: tuple[str, ...] = (),
+    unique: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join on ``product_id``; products without a result get the defaults.
 
     An id with several results gives several rows; name ``first_by`` columns to keep
-    one. Null ids match nothing. Model columns the feed already has become ``prev_*``.
+    one. Null ids match nothing. Model columns the feed already has become ``prev_*``, in
+    place of older ones. ``unique`` says that no id has several results.
 
     Skew: Spark splits hot partitions of the left side of a left join by itself, but
     not those of the right side. Ids with ``hot_rows`` results or more are therefore
     inner-joined apart, where both sides can be split: such an id has a match for
-    certain, so nothing is lost. Without such ids that branch is empty and dropped.
+    certain, so nothing is lost. There are at most as many such ids as results per
+    ``hot_rows``. Without any, that branch is empty and dropped; with ``unique`` or
+    ``first_by`` they are not searched for.
     """
     if "product_id" not in results.columns:
         raise ValueError("Missing required columns: product_id")
-    feed = feed.withColumnsRenamed(
-        {name: f"prev_{name}" for name in MODEL_COLUMNS if name in feed.columns}
-    ).withColumn("product_id", F.col("product_id").cast("string"))
+    again = {name: f"prev_{name}" for name in MODEL_COLUMNS if name in feed.columns}
+    feed = (
+        feed.drop(*again.values())
+        .withColumnsRenamed(again)
+        .withColumn("product_id", F.col("product_id").cast("string"))
+    )
     results = results.where(F.col("product_id").isNotNull())
     if first_by:
         results = first_results(results, *first_by)
@@ -73,18 +78,16 @@ def merge_results(
         *[_result_column(results, name) for name in MODEL_COLUMNS],
     )
     own = feed.columns
-    if first_by:
+    if first_by or unique:
         return _with_defaults(feed.join(results, "product_id", "left"), own)
 
     hot = (
         results.groupBy("product_id")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"), "product_id")
-        .limit(MAX_HOT_IDS)
         .select("product_id")
     )
-    hot = F.broadcast(hot)  # at most MAX_HOT_IDS ids
+    hot = F.broadcast(hot)  # a row per hot_rows results at most
     usual = feed.join(hot, "product_id", "left_anti").join(
         results.join(hot, "product_id", "left_anti"), "product_id", "left"
     )

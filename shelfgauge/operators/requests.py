@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfgauge.operators.batching import BATCH_COLUMNS
+from shelfgauge.operators.batching import BATCH_COLUMNS, OWN_NAME
+from shelfgauge.operators.scoring import DEFAULT_RULES, Rule
 
 _ANSWER_FIELDS = """\
 - product_id: copied from the input
@@ -21,8 +22,13 @@ _ANSWER_FIELDS = """\
 - improvement_priority: High, Medium or Low
 """
 
-#: Request text; ``{n}`` and ``{products}`` are filled in per batch.
-PROMPT = (
+
+def rule_lines(rules: Sequence[Rule]) -> str:
+    """What each rule costs, as lines of a request."""
+    return "".join(f"- {rule.label or rule.name.replace('_', ' ')}: {rule.points}\n" for rule in rules)
+
+
+_PROMPT = (
     """\
 Judge the catalogue quality of these {n} products, given as a JSON array:
 {products}
@@ -32,19 +38,21 @@ Answer with one JSON array of exactly {n} objects, in input order, with these ke
     + _ANSWER_FIELDS
     + """
 Every product starts at 100 points and loses points for each problem:
-- no material: 20
-- no colour, or an ambiguous one (with / or &): 10
-- description shorter than 20 words: 15
-- no gender in the title: 10
-- no keywords: 10
-- price absent or 0: 15
-- no stock status: 5
-- vague description: 10
+{rules}- vague description: 10
 
 The answer must be the JSON array alone.
 """
 )
 
+
+def prompt_for(rules: Sequence[Rule]) -> str:
+    """Request text for these rules; ``{n}`` and ``{products}`` are filled in per batch."""
+    return _PROMPT.replace("{rules}", rule_lines(rules))
+
+
+#: Request text for the default rules.
+PROMPT = prompt_for(DEFAULT_RULES)
+
 #: Second, stricter request for batches whose first answer was unusable.
 STRICT_PROMPT = (
     """\
@@ -82,7 +90,8 @@ def batch_products(
     which Spark would else choose by the size of the data.
     """
     names = columns or [name for name in batched.columns if name not in BATCH_COLUMNS]
-    product = F.struct(*[F.col(f"`{name}`") for name in names])
+    # Feed columns that were moved out of the way appear under their own names.
+    product = F.struct(*[F.col(f"`{name}`").alias(name.removeprefix(OWN_NAME)) for name in names])
     in_order = F.array_sort(F.collect_list(F.struct("item_no", product.alias("product"))))
     if partitions:
         batched = batched.repartition(partitions, "batch_id")

@@ -104,20 +104,23 @@ def result_rows(usable: DataFrame) -> DataFrame:
     )
 
 
-def stub_rows(batched: DataFrame) -> DataFrame:
-    """Stand-in results for the products of batches without a usable answer."""
-    none = F.array().cast("array<string>")
-    values = {
-        "product_id": F.col("product_id").cast("string"),
+def _stub(product_id: Column, title: Column) -> dict[str, Column]:
+    return {
+        "product_id": product_id.cast("string"),
         "quality_score": F.lit(STUB_SCORE),
         "grade": F.lit(STUB_GRADE),
         "issues": F.array(F.lit(STUB_ISSUE)),
-        "missing_attributes": none,
-        "suggested_title": F.coalesce(F.col("title").cast("string"), F.lit("")),
+        "missing_attributes": F.array().cast("array<string>"),
+        "suggested_title": F.coalesce(title.cast("string"), F.lit("")),
         "suggested_description": F.lit(""),
         "suggested_keywords": F.lit(""),
         "improvement_priority": F.lit(STUB_PRIORITY),
     }
+
+
+def stub_rows(batched: DataFrame) -> DataFrame:
+    """Stand-in results for the products of batches without a usable answer."""
+    values = _stub(F.col("product_id"), F.col("title"))
     return batched.select(
         "batch_id",
         F.lit(0).alias("attempt"),
@@ -132,9 +135,45 @@ def resolve_results(batched: DataFrame, responses: DataFrame) -> DataFrame:
     ``attempt`` is 1 or 2 for model results and 0 for stubs. ``batched`` needs ``batch_id``,
     ``item_no``, ``product_id`` and ``title``. Responses that were stored with their
     validation flags are not checked again.
+
+    The answer that counts is joined to the products of its batch, one row per batch, and
+    either its items or the stubs come out, so that no answer is parsed for a second use.
     """
     if "valid" not in responses.columns:
         responses = validate_responses(parse_responses(responses))
-    usable = usable_responses(responses)
-    failed = batched.join(usable.select("batch_id"), "batch_id", "left_anti")
-    return result_rows(usable).unionByName(stub_rows(failed))
+    products = batched.groupBy("batch_id").agg(
+        F.collect_list(F.struct("item_no", "product_id", "title")).alias("products")
+    )
+    joined = products.join(usable_responses(responses), "batch_id", "full").select(
+        "batch_id", "attempt", F.posexplode(_entries()).alias("place", "entry")
+    )
+    item = F.col("entry.item")
+    stub = _stub(F.col("entry.product_id"), F.col("entry.title"))
+    from_stub = F.col("attempt").isNull()
+    values = [
+        F.when(from_stub, stub[name]).otherwise(_field(item, name)).alias(name)
+        for name in RESULT_KEYS
+    ]
+    return joined.where(from_stub | _members(item).isNotNull()).select(
+        "batch_id",
+        F.coalesce("attempt", F.lit(0)).alias("attempt"),
+        F.when(from_stub, F.col("entry.item_no")).otherwise(F.col("place")).alias("item_no"),
+        *values,
+    )
+
+
+def _entries() -> Column:
+    """The items of an answer, or else the products of the batch, in one shape."""
+    nothing = {"item": "variant", "item_no": "int", "product_id": "string", "title": "string"}
+
+    def entry(**given: Column) -> Column:
+        fields = [given.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in nothing.items()]
+        return F.struct(*fields)
+
+    stubs = F.transform(
+        "products",
+        lambda p: entry(item_no=p["item_no"], product_id=p["product_id"], title=p["title"]),
+    )
+    return F.when(F.col("attempt").isNull(), stubs).otherwise(
+        F.transform("items", lambda item: entry(item=item))
+    )

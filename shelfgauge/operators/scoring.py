@@ -41,6 +41,8 @@ class Rule:
     issue: Callable[[], Column]
     #: attribute reported as missing, if the rule is about absence
     attribute: str | None = None
+    #: how a request to a model names the problem, by default the name
+    label: str = ""
 
 
 def absent(column: str, points: int) -> Rule:
@@ -51,6 +53,7 @@ def absent(column: str, points: int) -> Rule:
         lambda: is_missing(column),
         lambda: F.lit(f"Missing {column}"),
         column,
+        f"no {column.replace('_', ' ')}",
     )
 
 
@@ -80,6 +83,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         10,
         _ambiguous_colour,
         lambda: F.concat(F.lit("Ambiguous colour value: '"), strip("colour"), F.lit("'")),
+        label="ambiguous colour (with / or &)",
     ),
     absent("description", 15),
     Rule(
@@ -91,12 +95,14 @@ DEFAULT_RULES: tuple[Rule, ...] = (
             word_count("description").cast("string"),
             F.lit(f" words, need ≥{MIN_WORDS})"),
         ),
+        label=f"description shorter than {MIN_WORDS} words",
     ),
     Rule(
         "title_gender",
         10,
         lambda: ~contains_any("title", GENDER_WORDS),
         lambda: F.lit("Title missing gender indicator"),
+        label="no gender in the title",
     ),
     absent("keywords", 10),
     Rule(
@@ -104,6 +110,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         15,
         _not_positive,
         lambda: F.lit("Price is zero or negative"),
+        label="price of 0 or less",
     ),
     Rule(
         "price_invalid",
@@ -111,6 +118,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         _bad_price,
         lambda: F.lit("Missing or invalid price"),
         "price",
+        "price absent or no number",
     ),
     absent("stock_status", 5),
 )

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfgauge.functions import (
+    number_or_zero,
     or_dash,
     priority_class,
     score_band,
@@ -67,12 +68,15 @@ def first_products(df: DataFrame, n: int, order: Sequence[str | Column] = ("prod
 
 
 def find_products(df: DataFrame, ids: DataFrame | Iterable[str], *first_by: str) -> DataFrame:
-    """The products with the given ids, the first row where an id repeats.
+    """The products with the given ids, one row each.
 
     ``ids`` is a list, pushed into the scan as a filter, or a frame with ``product_id``.
-    "First" goes by the ``first_by`` columns. It is a minimum, so copies of one id
-    shrink before the shuffle.
+    Where an id repeats, the row with the smallest ``first_by`` columns is taken, which
+    must be named for that (a row number gives the first row); ties go by content. It is
+    a minimum, so copies of one id shrink before the shuffle.
     """
+    if not first_by:
+        raise ValueError("Name the columns that say which row of an id comes first")
     wanted = df.withColumn("product_id", F.col("product_id").cast("string"))
     if isinstance(ids, DataFrame):
         wanted = wanted.join(ids.select("product_id").distinct(), "product_id", "left_semi")
@@ -122,13 +126,17 @@ def before_after(enriched: DataFrame) -> DataFrame:
 
 
 def product_badges(enriched: DataFrame) -> DataFrame:
-    """Score, grade and priority bands and the issue list of each product's detail view."""
+    """Score, grade and priority bands and the issue list of each product's detail view.
+
+    Score texts are judged by their number, 0 where they have none.
+    """
+    score = number_or_zero("quality_score")
     return enriched.select(
         "product_id",
         "quality_score",
         "grade",
-        score_band("quality_score").alias("score_band"),
-        score_class("quality_score").alias("score_class"),
+        score_band(score).alias("score_band"),
+        score_class(score).alias("score_class"),
         priority_class("improvement_priority").alias("priority_class"),
         shown_issues("issues").alias("issue_list"),
     )

@@ -55,7 +55,7 @@ from (select *, cast(substr(product_id, 2) as bigint) as k from ({FEED}) f) r
 RESULTS = """
 select 'P' || cast(doc_id as string) as product_id,
   case when doc_id % 23 = 0 then 'n/a' when doc_id % 29 = 0 then '85.7'
-    when doc_id % 31 = 0 then null
+    when doc_id % 31 = 0 then null when doc_id % 37 = 0 then '38d'
     else cast(40 * quality + doc_id % 61 as string) end as quality_score,
   case doc_id % 6 when 0 then 'A' when 1 then 'B' when 2 then 'C' when 3 then 'D'
     when 4 then 'F' else 'X' end as grade,
@@ -72,6 +72,34 @@ select 'P' || cast(doc_id as string) as product_id,
 from $labels
 """
 
+_REST = """quality_score, grade, issues, missing_attributes, suggested_title,
+  suggested_description, suggested_keywords, improvement_priority"""
+
+#: results with repeated and absent ids: one, two or three per product
+REPEATED_RESULTS = f"""
+select product_id, {_REST}, 1 as seq from ({RESULTS}) a
+union all
+select product_id, '7' as quality_score, grade, issues, missing_attributes,
+  'Second title' as suggested_title, suggested_description, suggested_keywords,
+  improvement_priority, 2 as seq
+from ({RESULTS}) b where cast(substr(product_id, 2) as bigint) % 3 = 0
+union all
+select case when cast(substr(product_id, 2) as bigint) % 2 = 0 then product_id end, {_REST},
+  0 as seq
+from ({RESULTS}) c where cast(substr(product_id, 2) as bigint) % 9 = 0
+"""
+
+#: the feed with some products twice, under one id
+REPEATED_FEED = f"""
+select f.*, 2 as copy from ({FEED}) f
+union all
+select f.*, 1 as copy from ({FEED}) f where cast(substr(product_id, 2) as bigint) % 5 = 1
+union all
+select cast(null as string) as product_id, title, category, material, colour, description, price,
+  gender, size_range, season, keywords, stock_status, 3 as copy
+from ({FEED}) f where cast(substr(product_id, 2) as bigint) % 50 = 2
+"""
+
 #: raw answers for batches of eight documents: fenced, with trailing text, no array,
 #: absent keys, empty lists, prose, and batches that were never asked again
 ANSWERS = """

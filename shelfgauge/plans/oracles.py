@@ -8,6 +8,7 @@ functions where it uses variants.
 from __future__ import annotations
 
 from shelfgauge.operators.requests import PROMPT, STRICT_PROMPT
+from shelfgauge.operators.scoring import GENDER_WORDS
 from shelfgauge.plans import fixtures
 from shelfgauge.schema import MODEL_COLUMNS, NA_TOKENS, REQUIRED_COLUMNS, RESULT_KEYS
 
@@ -44,12 +45,9 @@ ANSWERS = f"resp as ({fixtures.for_oracle(fixtures.ANSWERS)})"
 
 _WORDS = f"coalesce(len(regexp_extract_all(description, '{_WORD}')), 0)"
 _PRICE = "try_cast(price as double)"
-_GENDER = " or ".join(
-    f"contains(lower(title), {_quote(word)})"
-    for word in ("women's", "men's", "womens", "mens", "unisex", "boys'", "girls'")
-)
+_GENDER = " or ".join(f"contains(lower(title), {_quote(word)})" for word in GENDER_WORDS)
 
-#: (condition, points, issue, attribute)
+# Fixed values: (condition, points, issue, attribute) of each rule.
 _RULES = (
     (_missing("material"), 20, "'Missing material'", "'material'"),
     (_missing("colour"), 10, "'Missing colour'", "'colour'"),
@@ -210,8 +208,46 @@ select product_id,
   case when failed then '' else array_to_string(gaps, '; ') end as missing_attributes,
   case when failed then title else 'New ' || title end as suggested_title,
   '' as suggested_description,
-  case when failed then 'High' else 'Low' end as improvement_priority
+  case when failed then 'High' else 'Low' end as improvement_priority,
+  'own ' || product_id as item_no
 from led"""
+#: the same over a feed that went through CSV, where blank cells are nothing
+ENRICHED_STREAM = "select * exclude (item_no) from (" + ENRICHED_BY_MODEL.replace(
+    FEED, f"sent as ({fixtures.for_oracle(fixtures.FEED)}), feed as ({_cleaned('sent')})"
+) + ") s"
+
+_GIVEN = f"""feed as ({fixtures.for_oracle(fixtures.REPEATED_FEED)}),
+given as ({fixtures.for_oracle(fixtures.REPEATED_RESULTS)})"""
+
+
+def _merged_repeats(results: str) -> str:
+    merged = MERGED.replace("from feed f", ", f.copy from feed f")
+    columns = ", ".join(("product_id", "title", "copy", *MODEL_COLUMNS))
+    return f"with {_GIVEN}, ai as ({results}), {merged} select {columns} from merged"
+
+
+_FIGURES = """select 'scalar' as part, name, number from (
+    unpivot (
+      select cast(count(*) as double) as total_products,
+        round_even(avg(quality_score), 1) as average_quality_score,
+        cast(count(*) filter (quality_score < 60) as double) as products_needing_review,
+        cast(20 as double) as n_columns,
+        round_even(100 - round_even(avg(quality_score), 1), 1) as points_from_perfect,
+        round_even(count(*) filter (quality_score < 60) * cast(0.25 as double), 1) as hours_saved
+      from merged)
+    on columns(*) into name name value number) u
+  union all
+  select 'grade', g.grade, cast(count(m.product_id) as double)
+  from (values ('A'), ('B'), ('C'), ('D'), ('F')) g(grade)
+  left join merged m on m.grade = g.grade group by g.grade
+  union all
+  select 'worst', product_id, cast(quality_score as double)
+  from (select * from merged order by quality_score, product_id limit 5) w
+  union all
+  select 'attribute', attribute, cast(count(*) as double) from (select """ + _strip(
+    "unnest(string_split(missing_attributes, ';'))"
+) + """ as attribute from merged) a
+  where attribute <> '' and lower(attribute) <> 'none' group by attribute"""
 
 
 def _badge_rows() -> str:
@@ -344,5 +380,24 @@ ORACLES = {
         f"select batch_id, attempt, item_no, {', '.join(RESULT_KEYS)} from resolved"
     ),
     "enrich_feed": ENRICHED_BY_MODEL,
+    "stream_enriched": ENRICHED_STREAM,
+    "csv_two_headers": _on_feed(_cleaned("feed")),
+    "merge_fan_out": _merged_repeats("select * from given"),
+    "merge_first": _merged_repeats(
+        "select * from given where product_id is not null "
+        "qualify row_number() over (partition by product_id order by seq) = 1"
+    ),
+    "lookup_first": (
+        f"with {_GIVEN} select * from feed where product_id in (select product_id from given) "
+        "qualify row_number() over (partition by product_id order by copy) = 1"
+    ),
+    "first_products": _on_feed("select product_id, title, price from feed order by product_id limit 20"),
+    "summary_bundle": _on_merged(_FIGURES),
+    "summary_of_export": _on_merged(
+        _FIGURES + " union all select 'band', score_class, cast(count(*) as double) from ("
+        "select case when quality_score >= 80 then 'high' when quality_score >= 65 then 'mid' "
+        "when quality_score >= 50 then 'low-m' else 'low' end as score_class from merged) b "
+        "group by score_class"
+    ),
     "stream_scored": _on_scored("select product_id, pre_score, pre_grade, pre_issues from scored"),
 }

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfgauge import operators as op
 from shelfgauge.plans import fixtures
-from shelfgauge.schema import RESULT_KEYS
+from shelfgauge.schema import MODEL_COLUMNS, RESULT_KEYS
 from shelfgauge.sources import clean_feed, export_columns, new_path, read_feed, write_feed
-from shelfgauge.streaming import stream_feed, write_scores
+from shelfgauge.streaming import stream_feed, write_enriched, write_scores
 
 SCORED = ("product_id", "pre_score", "pre_grade")
 BATCHED = ("product_id", "batch_id", "item_no")
@@ -81,7 +81,8 @@ def _flat(results: DataFrame) -> DataFrame:
 
 
 def resolved_results(spark: SparkSession, folder: str) -> DataFrame:
-    batched = op.with_batch_id(feed(spark, folder), 8, [product_number()])
+    needed = feed(spark, folder).select("product_id", "title")
+    batched = op.with_batch_id(needed, 8, [product_number()])
     return _flat(op.resolve_results(batched, answers(spark, folder)))
 
 
@@ -121,20 +122,87 @@ def sample_model():
     return scorer
 
 
+ENRICHED = (
+    "product_id",
+    "quality_score",
+    "grade",
+    "issues",
+    "missing_attributes",
+    "suggested_title",
+    "suggested_description",
+    "improvement_priority",
+)
+
+
 def enrich_feed(spark: SparkSession, folder: str) -> DataFrame:
-    done = op.enrich(feed(spark, folder), sample_model())
-    return done.select(
-        "product_id",
-        "quality_score",
-        "grade",
-        "issues",
-        "missing_attributes",
-        "suggested_title",
-        "suggested_description",
-        "improvement_priority",
+    """The feed has a column of its own with the name of a batch column."""
+    own = feed(spark, folder).withColumn("item_no", F.concat(F.lit("own "), "product_id"))
+    return op.enrich(own, sample_model()).select(*ENRICHED, "item_no")
+
+
+def stream_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    source, out, log = (new_path(spark, name) for name in ("enrich-in", "enrich-out", "enrich-log"))
+    write_feed(feed(spark, folder), source)
+    writer = write_enriched(stream_feed(spark, source), sample_model(), out, log)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(*ENRICHED)
+
+
+def csv_two_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Two deliveries with columns in different order, read apart and put together by name."""
+    odd = F.substring("product_id", -1, 1).isin("1", "3", "5", "7", "9")
+    rows = feed(spark, folder)
+    first, second = (new_path(spark, name) for name in ("feed-odd", "feed-even"))
+    write_feed(rows.where(odd), first)
+    turned = rows.where(~odd).select(*reversed(rows.columns)).withColumnRenamed("size_range", "Size Range ")
+    write_feed(turned, second)
+    return read_feed(spark, first).unionByName(read_feed(spark, second))
+
+
+def repeated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        fixtures.on_spark(spark, folder, fixtures.REPEATED_FEED),
+        fixtures.on_spark(spark, folder, fixtures.REPEATED_RESULTS),
+    )
+
+
+def merged_repeats(spark: SparkSession, folder: str, *first_by: str) -> DataFrame:
+    products, results = repeated(spark, folder)
+    merged = op.merge_results(products, results, first_by=first_by)
+    return merged.select("product_id", "title", "copy", *MODEL_COLUMNS)
+
+
+def lookup_first(spark: SparkSession, folder: str) -> DataFrame:
+    products, results = repeated(spark, folder)
+    return op.find_products(products, results, "copy")
+
+
+def _long(part: str, df: DataFrame, name: str, number: str) -> DataFrame:
+    return df.select(
+        F.lit(part).alias("part"), F.col(name).alias("name"), F.col(number).cast("double").alias("number")
     )
 
 
+def bundle(summary: op.Summary) -> DataFrame:
+    """The four parts of a summary in one long form."""
+    scalars = summary.scalars.unpivot([], summary.scalars.columns, "name", "number")
+    return (
+        _long("scalar", scalars, "name", "number")
+        .unionByName(_long("grade", summary.grades, "grade", "n_products"))
+        .unionByName(_long("worst", summary.worst, "product_id", "quality_score"))
+        .unionByName(_long("attribute", summary.attributes, "attribute", "n_products"))
+    )
+
+
+def summary_of_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures and badges of an enriched feed that was written as CSV and read back as text."""
+    path = new_path(spark, "export")
+    write_feed(enriched(spark, folder), path)
+    back = read_feed(spark, path)
+    bands = op.product_badges(back).groupBy("score_class").agg(F.count("*").alias("n"))
+    return bundle(op.summarise(back)).unionByName(_long("band", bands, "score_class", "n"))
+
+
 QUERIES = {
     "clean_feed": cleaned,
     "csv_round_trip": csv_round_trip,
@@ -148,13 +216,22 @@ QUERIES = {
     "merge_results": enriched,
     "results_view": lambda s, d: op.results_view(enriched(s, d)),
     "enriched_export": lambda s, d: export_columns(enriched(s, d)),
+    "merge_fan_out": merged_repeats,
+    "merge_first": lambda s, d: merged_repeats(s, d, "seq"),
+    "lookup_first": lookup_first,
+    "first_products": lambda s, d: op.first_products(feed(s, d), 20).select("product_id", "title", "price"),
+    "summary_bundle": lambda s, d: bundle(op.summarise(enriched(s, d))),
+    "summary_of_export": summary_of_export,
+    "csv_two_headers": csv_two_headers,
     "summary_scalars": lambda s, d: op.summary_scalars(enriched(s, d)),
     "grade_distribution": lambda s, d: op.grade_distribution(enriched(s, d)),
     "worst_products": lambda s, d: op.worst_products(enriched(s, d)),
     "missing_attribute_frequency": lambda s, d: op.missing_attribute_frequency(enriched(s, d)),
     "title_compare": lambda s, d: op.title_comparison(enriched(s, d)),
     "before_after": lambda s, d: op.before_after(enriched(s, d)),
-    "product_lookup": lambda s, d: op.find_products(feed(s, d), model_results(s, d)),
+    "product_lookup": lambda s, d: op.find_products(
+        feed(s, d), model_results(s, d), "title"
+    ),
     "missing_badges": lambda s, d: op.missing_badges(feed(s, d)),
     "bands": lambda s, d: op.product_badges(enriched(s, d)).withColumn(
         "issue_list", F.array_join("issue_list", "|")
@@ -170,4 +247,5 @@ QUERIES = {
     "resolved_results": resolved_results,
     "enrich_feed": enrich_feed,
     "stream_scored": stream_scored,
+    "stream_enriched": stream_enriched,
 }

@@ -67,6 +67,7 @@ NA_TOKENS = (
     "null",
 )
 
+# The grades, best first.
 GRADES = ("A", "B", "C", "D", "F")
 
 #: Every model answer must hold one object per product with these keys.

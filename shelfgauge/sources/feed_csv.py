@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelfgauge.functions import strip
 from shelfgauge.schema import MODEL_COLUMNS, NA_TOKENS, REQUIRED_COLUMNS
 
+#: Column for the text of records that do not fit the header.
+RECORD = "__record"
+
 #: CSV dialect of a feed: quotes are doubled, not backslash-escaped. A quoted
 #: cell may hold line breaks, so a file is one unit of work.
 READ_OPTIONS = {
@@ -18,6 +21,9 @@ READ_OPTIONS = {
     "encoding": "UTF-8",
     # every file's header is compared with the first one's
     "enforceSchema": "false",
+    "columnNameOfCorruptRecord": RECORD,
+    # with it, Spark does not see how many cells a record has
+    "columnPruning": "false",
 }
 
 #: Blank and null cells are written as nothing between two commas.
@@ -81,15 +87,70 @@ def conform(df: DataFrame) -> DataFrame:
     return clean_feed(require_columns(normalise_headers(df)))
 
 
-def _spark_renamed(columns: list[str]) -> bool:
-    """Whether Spark made up column names: for nameless columns, or to tell equal names apart."""
-    stems = [
-        name.removesuffix(str(at)) if name.endswith(str(at)) else "" for at, name in enumerate(columns)
-    ]
-    return any(
-        name == f"_c{at}" or (stem and stems.count(stem) > 1)
-        for at, (name, stem) in enumerate(zip(columns, stems))
+def _header(spark: SparkSession, path: str | list[str], options: dict[str, str]) -> list[str | None]:
+    """The cells of one file's first record; null for a nameless column."""
+    row = spark.read.options(**{**options, "header": "false"}).csv(path).first()
+    if row is None:
+        raise ValueError(f"No header in {path}")
+    cells = list(row)
+    if cells[0]:
+        cells[0] = cells[0].removeprefix("\ufeff") or None
+    return cells
+
+
+def _compare_headers(spark: SparkSession, path: str | list[str]) -> None:
+    """Refuse files whose first lines differ; reads the first block of each file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        "value",
     )
+    firsts = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("header"))
+    headers = firsts.select(F.regexp_replace("header", "^\ufeff|\r$", "").alias("header"))
+    if len(found := headers.distinct().limit(2).collect()) > 1:
+        raise ValueError(f"Files with different headers: {found[0].header!r}, {found[1].header!r}")
+
+
+def _cells(record: Column) -> Column:
+    """How many cells a CSV record has: commas outside of quoted cells, and one."""
+    bare = F.regexp_replace(record, r'(^|,)"(?:[^"]|"")*"', "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _surplus(raw: DataFrame) -> Column:
+    """Whether a record that does not fit the header has more cells than it.
+
+    Spark hands over the text of records with fewer or more cells; fewer are read as
+    nulls. It does so only to queries that look at a cell as well, as the last test does.
+    """
+    first, n_columns = F.col(f"`{raw.columns[0]}`"), len(raw.columns) - 1
+    record = F.col(RECORD)
+    return (_cells(record) > n_columns) & (F.length(F.concat_ws("", first, record)) > 0)
+
+
+def refuse_surplus(raw: DataFrame) -> DataFrame:
+    """``raw`` without its record column; the run stops at a record with surplus cells."""
+    message = F.concat(F.lit("More cells than the header has: "), F.substring(RECORD, 1, 300))
+    stop = F.when(_surplus(raw), F.raise_error(message).cast("boolean"))
+    return raw.where(F.coalesce(stop, F.lit(True))).drop(RECORD)
+
+
+def _raw_feed(spark: SparkSession, path: str | list[str], line_breaks_in_cells: bool) -> DataFrame:
+    """The cells as they are, and the text of records that do not fit the header."""
+    options = {**READ_OPTIONS, "multiLine": str(line_breaks_in_cells).lower()}
+    header = _header(spark, path, options)
+    named = [name for name in header if name]
+    if len({name.lower() for name in named}) < len(header):
+        # Spark cannot tell nameless or repeated columns apart, so it does not compare these.
+        _compare_headers(spark, path)
+        options["enforceSchema"] = "true"
+    fields = [T.StructField(f"c{at}" if options["enforceSchema"] == "true" else name, T.StringType()) for at, name in enumerate(header)]
+    schema = T.StructType([*fields, T.StructField(RECORD, T.StringType())])
+    raw = spark.read.options(**options).schema(schema).csv(path)
+    names = [name or f"_c{at}" for at, name in enumerate(header)]
+    seen = [name.lower() for name in names]
+    names = [f"{n}{at}" if seen.count(n.lower()) > 1 else n for at, n in enumerate(names)]
+    return raw.toDF(*names, RECORD)
 
 
 def read_feed(
@@ -99,18 +160,24 @@ def read_feed(
 
     Files read together must have the same header; a file that differs stops the run
     instead of being read into the wrong columns. Read such files apart and union
-    them by name.
+    them by name. A record with more cells than the header stops the run, too, since its
+    cells may be shifted (see :func:`surplus_rows`); missing cells at its end are null.
 
     ``line_breaks_in_cells=False`` lets Spark split large files between tasks. Use it
     for feeds known to keep each product on one line; otherwise a file is one task,
     and the work is spread over the files.
     """
-    options = {**READ_OPTIONS, "multiLine": str(line_breaks_in_cells).lower()}
-    raw = spark.read.options(**options).csv(path)
-    if _spark_renamed(raw.columns):
-        # made-up names are in no file, so there is nothing to compare
-        raw = spark.read.options(**{**options, "enforceSchema": "true"}).csv(path)
-    return conform(raw)
+    return conform(refuse_surplus(_raw_feed(spark, path, line_breaks_in_cells)))
+
+
+def surplus_rows(
+    spark: SparkSession, path: str | list[str], *, line_breaks_in_cells: bool = True
+) -> DataFrame:
+    """``file, record`` of the records that make :func:`read_feed` stop."""
+    raw = _raw_feed(spark, path, line_breaks_in_cells)
+    return raw.where(_surplus(raw)).select(
+        F.input_file_name().alias("file"), F.col(RECORD).alias("record")
+    )
 
 
 def export_columns(df: DataFrame) -> DataFrame:

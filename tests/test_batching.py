@@ -54,11 +54,11 @@ def test_exact_copies_are_numbered_once_each(spark):
 
 
 def test_hot_key_does_not_stay_in_one_partition(spark):
-    from shelfgauge.operators.batching import _ordered
+    from shelfgauge.operators.batching import _ID, _ordered
 
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        feed = numbered(spark, ["same"] * 4000, 8)
+        feed = numbered(spark, ["same"] * 4000, 8).withColumn(_ID, F.monotonically_increasing_id())
         counts = _ordered(feed, ["product_id"]).groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -75,6 +75,41 @@ def test_batch_size_is_checked(spark):
         with_batch_id(numbered(spark, ["a"]), 0)
 
 
+def test_ties_follow_the_files(spark, tmp_path):
+    rows = [("same", at) for at in range(500)]
+    spark.createDataFrame(rows, "product_id string, at int").coalesce(1).write.parquet(str(tmp_path / "f"))
+    got = with_position(spark.read.parquet(str(tmp_path / "f"))).orderBy("position").collect()
+    assert [r.at for r in got] == list(range(500))
+
+
+def test_what_lies_before_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    feed = numbered(spark, [f"{n:04}" for n in range(1000)])
+    batched = with_batch_id(feed.mapInArrow(count, feed.schema))
+    assert batched.count() == 1000 and batch_sizes(batched).count() == 125
+    assert seen.value == 1000
+
+
+def test_only_keys_are_sorted(spark, tmp_path):
+    feed = spark.range(100).selectExpr("cast(id as string) product_id", "repeat('x', 100) text")
+    ordered = with_position(feed, folder=str(tmp_path))
+    (positions,) = tmp_path.glob("positions-*")
+    assert spark.read.parquet(str(positions)).columns == ["__shelfgauge_id", "__shelfgauge_part"]
+    assert ordered.columns == ["product_id", "text", "position"]
+
+
+@pytest.mark.parametrize("name", ["position", "batch_id", "item_no", "__shelfgauge_id"])
+def test_reserved_names_are_refused(spark, name):
+    with pytest.raises(ValueError, match=name):
+        with_batch_id(numbered(spark, ["a"]).withColumn(name, F.lit(1)))
+
+
 def test_rows_never_gather_in_one_partition(spark):
     """Only the per-partition counts pass through a single task."""
     plan = with_batch_id(numbered(spark, ["a", "b"]))._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from shelfgauge.operators import analyse, enrich, summary_scalars, with_batch_id
+from shelfgauge.operators import analyse, enrich, responses_of, summary_scalars, with_batch_id
 from shelfgauge.plans.queries import sample_model
 from shelfgauge.schema import MODEL_COLUMNS
 
@@ -94,7 +94,7 @@ def test_error_texts_are_stored(spark, feed_of, tmp_path):
         with_batch_id(feed_of_ids(feed_of, 3), folder=folder), fail, folder=folder, pause=0.01
     )
     assert {(r.attempt, r.product_id) for r in results.collect()} == {(0, f"{n:03}") for n in range(3)}
-    stored = spark.read.parquet(*map(str, pathlib.Path(folder, "shelfgauge").glob("responses-*")))
+    stored = responses_of(spark, folder)
     assert {(r.attempt, r.error, r.valid) for r in stored.collect()} == {
         (1, "ValueError: quota", False),
         (2, "ValueError: quota", False),
@@ -111,7 +111,7 @@ def test_callers_set_the_number_of_calling_tasks(spark, feed_of, tmp_path):
 
     batched = with_batch_id(feed_of_ids(feed_of, 64), 1, folder=str(folder))
     analyse(batched, scorer, callers=3, folder=str(folder))
-    (first,) = (folder / "shelfgauge").glob("responses-1-*")
+    first = folder / "responses-1" / "wave=0"
     assert len(list(first.glob("part-*"))) == 3
 
 
@@ -143,6 +143,45 @@ def test_answers_that_are_no_text_are_unusable(spark, feed_of):
 
 def test_shared_ids(spark, feed_of):
     feed = feed_of({"title": "a"}, {"title": "b"})
-    assert enrich(feed, lambda r: answer(products_of(r))).count() == 4
-    once = enrich(feed, lambda r: answer(products_of(r)), first_by=("batch_id", "item_no"))
+    once = enrich(feed, lambda r: answer(products_of(r)))
     assert sorted(r.title for r in once.collect()) == ["a", "b"]
+    assert enrich(feed, lambda r: answer(products_of(r)), first_by=()).count() == 4
+
+
+def test_feed_columns_named_like_batch_columns_survive(spark, feed_of, logged):
+    build, calls = logged
+    feed = feed_of({"product_id": "1"}, {"product_id": "2"}).withColumns(
+        {"position": F.lit("top"), "batch_id": F.lit("b7"), "item_no": F.col("product_id")}
+    )
+    rows = enrich(feed, build(lambda r: answer(products_of(r))), order=["item_no"]).collect()
+    assert sorted((r.product_id, r.position, r.batch_id, r.item_no, r.grade) for r in rows) == [
+        ("1", "top", "b7", "1", "D"), ("2", "top", "b7", "2", "D"),
+    ]
+    sent = products_of(calls()[0])
+    assert [(p["position"], p["batch_id"], p["item_no"]) for p in sent] == [("top", "b7", "1"), ("top", "b7", "2")]
+
+
+def test_a_run_that_was_stopped_asks_only_open_waves(spark, feed_of, logged, tmp_path):
+    build, calls = logged
+    feed, folder = feed_of_ids(feed_of, 12), str(tmp_path / "run")
+    broken = tmp_path / "broken"
+
+    def reply(request):
+        import os
+
+        if os.path.exists(str(broken)) and "007" in request:
+            raise SystemExit("killed")  # no answer, the task is gone
+        return answer(products_of(request))
+
+    broken.touch()
+    options = {"batch_size": 1, "folder": folder, "callers": 1, "wave_size": 2}
+    with pytest.raises(Exception):
+        enrich(feed, build(reply), **options)
+    done = {p.name for p in pathlib.Path(folder, "responses-1").glob("wave=*") if (p / "_SUCCESS").exists()}
+    answered = {r.batch_id for r in spark.read.parquet(*[f"{folder}/responses-1/{d}" for d in done]).collect()} if done else set()
+    broken.unlink()
+    before = len(calls())
+    assert enrich(feed, build(reply), **options).where("grade = 'D'").count() == 12
+    assert len(calls()) - before == 12 - len(answered)
+    again = len(calls())
+    assert enrich(feed, build(reply), **options).count() == 12 and len(calls()) == again

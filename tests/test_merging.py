@@ -125,6 +125,29 @@ def test_earlier_model_columns_are_kept_aside(spark, feed_of):
     assert (row.prev_grade, row.grade, row.prev_quality_score) == ("B", "A", 75)
 
 
+def test_the_newest_earlier_columns_stay(spark, feed_of):
+    merged = feed_of({"product_id": "1"})
+    for grade in "ABCD":
+        merged = merge_results(merged, results_of(spark, full("1", grade=grade)))
+    row = merged.first()
+    assert (row.grade, row.prev_grade) == ("D", "C") and merged.columns.count("prev_grade") == 1
+
+
+def test_more_hot_ids_than_ever_fit_a_list(spark, feed_of):
+    ids = [f"h{n}" for n in range(1500)]
+    feed = spark.createDataFrame([(i,) for i in ids * 2], "product_id string")
+    results = spark.createDataFrame([(i, "1") for i in ids * 3], "product_id string, quality_score string")
+    merged = merge_results(feed, results, hot_rows=3)
+    assert merged.where("quality_score = 1").count() == 9000 == merged.count()
+
+
+def test_unique_results_are_joined_once(spark, feed_of):
+    results = results_of(spark, full("1"))
+    merged = merge_results(feed_of({"product_id": "1"}, {"product_id": "2"}), results, unique=True)
+    assert model_part(merged) == [("1", *MERGED), ("2", *DEFAULTS)]
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_results_need_an_id(spark, feed_of):
     with pytest.raises(ValueError, match="product_id"):
         merge_results(feed_of({}), spark.range(1))

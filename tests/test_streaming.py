@@ -65,7 +65,6 @@ def model(request):
 
 
 def test_enriched_stream(spark, tmp_path):
-    before = set(pathlib.Path(shared_folder(spark)).glob("shelfgauge/*"))
     source, out, log = (str(tmp_path / name) for name in ("in", "out", "log"))
     for name, first in (("a", 0), ("b", 100)):
         write_file(spark, source, name, first)
@@ -77,9 +76,31 @@ def test_enriched_stream(spark, tmp_path):
     results = feed.selectExpr(
         "product_id", "'77' as quality_score", "'' as issues", "'' as missing_attributes"
     )
-    assert table(rows.drop("epoch")) == table(merge_results(feed, results))
+    assert table(rows.drop("epoch", "run")) == table(merge_results(feed, results))
     # nothing is left of the intermediate tables
-    assert set(pathlib.Path(shared_folder(spark)).glob("shelfgauge/*")) == before
+    assert not list(pathlib.Path(shared_folder(spark)).glob("shelfgauge/stream-*/epoch-*"))
+
+
+def test_streams_into_one_folder_keep_each_others_results(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for name, first in (("a", 0), ("b", 100)):
+        source, log = str(tmp_path / f"in-{name}"), str(tmp_path / f"log-{name}")
+        write_file(spark, source, name, first)
+        drain(write_enriched(stream_feed(spark, f"{source}/*"), model, out, log))
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 10 and {r.epoch for r in rows} == {0} and len({r.run for r in rows}) == 2
+
+
+def test_stream_stops_at_surplus_cells(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    cells = ",".join("x" * 12)
+    (tmp_path / "in" / "a.csv").write_text(f"{','.join(REQUIRED_COLUMNS)}\n{cells}\n{cells},\n")
+    stream = stream_feed(spark, str(tmp_path / "in"))
+    query = write_scores(stream, str(tmp_path / "out"), str(tmp_path / "log")).trigger(
+        availableNow=True
+    )
+    with pytest.raises(StreamingQueryException, match="More cells"):
+        query.start().awaitTermination()
 
 
 def test_stream_stops_at_a_wrong_header(spark, tmp_path):
