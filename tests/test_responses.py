@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,19 @@ def test_resolution_with_stubs(spark, feed_of):
     assert rows[4].suggested_title == "T5"
 
 
+def test_each_answer_is_read_and_parsed_once(spark, feed_of, tmp_path):
+    rows = [(at, 1, attempt, json.dumps([result()])) for at in range(9) for attempt in (1, 2)]
+    answers(spark, *rows).write.parquet(str(tmp_path / "answers"))
+    stored = spark.read.parquet(str(tmp_path / "answers"))
+    batched = with_batch_id(feed_of(*[{"product_id": f"{n}"} for n in range(9)]), 1)
+    resolved = resolve_results(batched, stored)
+    assert resolved.count() == 9
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert len(re.findall(r"parse_?json", plan)) == 1, plan
+    scans = resolved._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*raw#", scans)) == 1
+
+
 def test_keyword_list_stays_json(spark):
     given = answers(spark, (0, 1, 1, json.dumps([result(suggested_keywords=["a", "b"])])))
     from shelfgauge.operators import result_rows

@@ -24,44 +24,83 @@ from shelfgauge.operators import (
 from shelfgauge.schema import REQUIRED_COLUMNS
 
 
+#: id, score, grade, issues, missing attributes, suggested title
+CATALOGUE = [
+    ("K01", "95.5", "A", "", "", "Fresh name"),
+    ("K02", "12", "F", "no photo; size: S; M; L", "material; season", ""),
+    ("K03", "59.9", "D", "text too thin", "season", "Third name"),
+    ("K04", "60", "C", "None", "None", ""),
+    ("K05", "88.25", "B", " ; odd start", "", "Fifth name"),
+    ("K06", "40", "F", "faded", "Season ; season", "Sixth name"),
+    ("K07", "40", "F", "creased", "", ""),
+    ("K08", "33.3", "F", "", "price", "Eighth name"),
+    ("K09", "20", "F", "torn", "season", ""),
+    ("K10", "40", "F", "faded", "", ""),
+    ("K11", "unrated", "X", "unread", "", ""),
+]
+
+
 @pytest.fixture
 def enriched(spark, feed_of):
-    """60 products whose scores cycle through five values."""
-    rows = [
-        (
-            f"P{n:02}",
-            [90, 45, 70, 30, 80][n % 5],
-            ["A", "D", "B", "F", "A"][n % 5],
-            "issue one; issue two",
-            "material" if n % 3 == 0 else "",
-            "" if n % 2 else f"New {n}",
-        )
-        for n in range(60)
-    ]
+    """Products with unequal grades, a tie at the fifth place, and one without a result."""
     results = spark.createDataFrame(
-        rows,
-        "product_id string, quality_score int, grade string, issues string,"
+        CATALOGUE,
+        "product_id string, quality_score string, grade string, issues string,"
         "missing_attributes string, suggested_title string",
     )
-    return merge_results(feed_of(*[{"product_id": f"P{n:02}"} for n in range(60)]), results)
+    return merge_results(feed_of(*[{"product_id": f"K{n:02}"} for n in range(1, 13)]), results)
 
 
 def test_figures(enriched):
     figures = summarise(enriched)
     assert figures.scalars.first().asDict() == {
-        "total_products": 60,
-        "average_quality_score": 63.0,
-        "products_needing_review": 24,
+        "total_products": 12,
+        "average_quality_score": 40.6,
+        "products_needing_review": 9,
         "n_columns": 20,
-        "points_from_perfect": 37.0,
-        "hours_saved": 6.0,
+        "points_from_perfect": 59.4,
+        "hours_saved": 2.2,
     }
     grades = {r.grade: r.n_products for r in figures.grades.collect()}
-    assert grades == {"A": 24, "B": 12, "C": 0, "D": 12, "F": 12}
-    worst = figures.worst.collect()
-    assert [r.product_id for r in worst] == ["P03", "P08", "P13", "P18", "P23"]
-    assert {(r.quality_score, r.top_issue) for r in worst} == {(30, "issue one")}
-    assert [tuple(r) for r in figures.attributes.collect()] == [("material", 20)]
+    assert grades == {"A": 1, "B": 1, "C": 1, "D": 1, "F": 7}
+    worst = [(r.product_id, r.quality_score, r.top_issue) for r in figures.worst.collect()]
+    assert worst == [
+        ("K11", 0, "unread"),
+        ("K12", 0, "Analysis failed"),
+        ("K02", 12, "no photo"),
+        ("K09", 20, "torn"),
+        ("K08", 33, "N/A"),
+    ]
+    assert [r.product_id for r in worst_products(enriched, 7).collect()][-2:] == ["K06", "K07"]
+    assert [tuple(r) for r in figures.attributes.collect()] == [
+        ("season", 4), ("Season", 1), ("material", 1), ("price", 1),
+    ]
+
+
+def test_scores_that_are_texts(spark):
+    rows = [("a", "100"), ("b", "30"), ("c", "9"), ("d", "85.7"), ("e", "n/a"), ("f", "38d"), ("g", None)]
+    frame = spark.createDataFrame(rows, "product_id string, quality_score string").selectExpr(
+        "*", "'t' title", "'A' grade", "'' issues", "'' missing_attributes", "'high' improvement_priority"
+    )
+    assert summary_scalars(frame.where("product_id = 'd'")).first().average_quality_score == 85.7
+    worst = worst_products(frame, 5).collect()
+    assert [(r.product_id, r.quality_score) for r in worst] == [("e", 0), ("f", 0), ("g", 0), ("c", 9), ("b", 30)]
+    bands = {r.product_id: r.score_class for r in product_badges(frame).collect()}
+    assert bands == {"a": "high", "d": "high", "b": "low", "c": "low", "e": "low", "f": "low", "g": "low"}
+
+
+def test_a_summary_evaluates_its_input_once(spark, enriched):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    figures = summarise(enriched.mapInArrow(count, enriched.schema))
+    for part in (figures.scalars, figures.grades, figures.worst, figures.attributes):
+        assert part.count() > 0
+    assert seen.value == 12
 
 
 def test_empty_feed(enriched):
@@ -132,16 +171,16 @@ def test_title_comparison_skips_blank_suggestions(enriched):
     rows = title_comparison(
         enriched.withColumn(
             "suggested_title",
-            F.when(F.col("product_id") == "P00", "　 ").otherwise(F.col("suggested_title")),
+            F.when(F.col("product_id") == "K01", "　 ").otherwise(F.col("suggested_title")),
         )
     )
     assert rows.columns == ["product_id", "original_title", "ai_suggested_title", "quality_score"]
-    assert rows.count() == 29
+    assert sorted(r.product_id for r in rows.collect()) == ["K03", "K05", "K06", "K08"]
 
 
 def test_first_products_is_a_top_k(enriched):
     first = first_products(enriched, 3, [F.desc("product_id")])
-    assert [r.product_id for r in first.collect()] == ["P59", "P58", "P57"]
+    assert [r.product_id for r in first.collect()] == ["K12", "K11", "K10"]
     assert "TakeOrdered" in first._jdf.queryExecution().executedPlan().toString()
 
 
@@ -169,7 +208,7 @@ def test_badges(feed_of):
 
 
 def test_before_and_after(enriched):
-    rows = before_after(enriched.where("product_id = 'P01'").withColumn("price", F.lit("0")))
+    rows = before_after(enriched.where("product_id = 'K02'").withColumn("price", F.lit("0")))
     rows = rows.orderBy("field_no").collect()
     assert [r.field for r in rows[:12]] == list(REQUIRED_COLUMNS)
     assert {r.side for r in rows[:12]} == {"before"} and {r.side for r in rows[12:]} == {"after"}
@@ -181,9 +220,9 @@ def test_before_and_after(enriched):
 
 
 def test_product_badges(enriched):
-    row = product_badges(enriched).where("product_id = 'P02'").first()
-    assert (row.score_band, row.score_class, row.priority_class) == ("mid", "mid", "high")
-    assert row.issue_list == ["issue one", "issue two"]
+    row = product_badges(enriched).where("product_id = 'K03'").first()
+    assert (row.score_band, row.score_class, row.priority_class) == ("mid", "low-m", "high")
+    assert row.issue_list == ["text too thin"]
 
 
 def test_strip_of_blank_column(enriched):
