@@ -11,10 +11,13 @@ removed at the end of a block.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where Spark runs in one process may the setting be absent; then the session's
-    warehouse is used.
+    warehouse is used, and this process's tables there go when it ends.
     """
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder and re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         folder = spark.conf.get("spark.sql.warehouse.dir")
+        _remove_at_end(f"{folder.removeprefix('file:').rstrip('/')}/shelfgauge/{_RUN}")
     if not folder:
         raise ValueError(f"Set {_KEY} to a folder all executors share")
     return folder.rstrip("/")
 
 
+@cache
+def _remove_at_end(local_path: str) -> None:
+    atexit.register(shutil.rmtree, local_path, ignore_errors=True)
+
+
 def run_folder(spark: SparkSession) -> str:
     """Where this process puts its intermediate tables."""
     return f"{shared_folder(spark)}/shelfgauge/{_RUN}"
