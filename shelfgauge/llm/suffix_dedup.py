@@ -13,7 +13,7 @@ quicksort down to ``SHALLOW`` bytes beyond those that the group shares, then a b
 for each set that still agrees. The sort gives the bytes that neighbours share to the
 right; with those shared to the left, an anchor knows how far repeats cover it. Groups of
 over ``LARGE`` contexts are not gathered: each of their windows is hashed and counted in
-a shuffle, which is linear in their number.
+a shuffle. Time is linear in the contexts at any size of a group, but for a logarithm.
 
 Hashes that decide equality have 128 bits (64 of the anchor, 64 of its context). Texts are
 read once and kept compressed in a written table until the bytes are removed.
@@ -42,7 +42,10 @@ BEFORE = WINDOW - GRAM
 #: Windows looked at together; longer texts are read in such parts.
 PART = 1 << 18
 SHALLOW = 16
-LARGE = 256
+#: Groups of more contexts are compared window by window length, those of more than
+#: ``LARGE`` not in memory.
+PAIRS = 32
+LARGE = 20_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -285,6 +288,8 @@ def edges(before: list[bytes], after: list[bytes], alone: list[bool]) -> list[tu
     ``before`` holds the bytes left of the anchors, backwards; ``after`` those from them on.
     """
     order = deep_shallow(after, GRAM)
+    if len(order) > PAIRS:
+        return _edges_by_split(before, after, alone, order)
     out: list[tuple[int, int] | None] = [None] * len(after)
     for place, (own, _) in enumerate(order):
         if not alone[own]:
@@ -303,6 +308,40 @@ def edges(before: list[bytes], after: list[bytes], alone: list[bool]) -> list[tu
     return out
 
 
+def _classes_at(order: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted order, and what each shares with the one before."""
+    places, common = zip(*order)
+    return np.array(places), np.array(common)
+
+
+def _edges_by_split(
+    before: list[bytes], after: list[bytes], alone: list[bool], order: list[tuple[int, int]]
+) -> list[tuple[int, int] | None]:
+    """The same without comparing pairs.
+
+    For each split of a window at the anchor, texts that share enough to the right are
+    neighbours in one sorted order, those that share enough to the left in another; a
+    window occurs twice if two texts are together in both.
+    """
+    sorted_after, common_after = _classes_at(order)
+    sorted_before, common_before = _classes_at(deep_shallow(before))
+    n = len(after)
+    lengths_before, lengths_after = (np.array([len(t) for t in side]) for side in (before, after))
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    group_after, group_before = np.empty(n, np.int64), np.empty(n, np.int64)
+    for back in range(BEFORE + 1):
+        ahead = WINDOW - back
+        group_after[sorted_after] = np.cumsum(common_after < ahead)
+        group_before[sorted_before] = np.cumsum(common_before < back)
+        held = np.flatnonzero((lengths_before >= back) & (lengths_after >= ahead))
+        pairs = group_after[held] * (n + 1) + group_before[held]
+        _, which, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        twice = held[count[which] > 1]
+        left[twice] = back
+        right[twice] = np.maximum(right[twice], ahead)
+    return [(int(a), int(b)) if b and own else None for a, b, own in zip(left, right, alone)]
+
+
 def _contexts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` (gram, n, kinds, row, place, reach) with the bytes around each place."""
     lists = asked.groupBy("row").agg(
@@ -366,9 +405,7 @@ def _counted(contexts: DataFrame) -> DataFrame:
                     digest = hashlib.blake2b(raw[at : at + WINDOW], digest_size=16).digest()
                     yield digest, row, place - len(before) + at, n
 
-    all_windows = store(
-        map_rows(contexts, "digest binary, row long, start long, n long", windows), "windows"
-    )
+    all_windows = map_rows(contexts, "digest binary, row long, start long, n long", windows)
     # Windows of one text that two anchors hold are one window.
     own = all_windows.groupBy("digest", "row", "start").agg(F.max("n").alias("n"))
     again = own.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")

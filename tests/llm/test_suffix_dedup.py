@@ -32,12 +32,29 @@ def test_every_window_holds_an_anchor_and_parts_do_not_matter(monkeypatch):
         assert (one == other).all()
 
 
+def test_groups_of_any_size_give_the_same_edges(monkeypatch):
+    draw = random.Random(12)
+    for _ in range(60):
+        gram, cores = "g" * sd.GRAM, ["".join(draw.choice("ab") for _ in range(150)) for _ in range(3)]
+        before, after = [], []
+        for _ in range(draw.randint(2, 40)):
+            cut, core = draw.randint(0, sd.BEFORE), draw.choice(cores)
+            before.append((core[:cut] + "x" * draw.randint(0, 9))[: sd.BEFORE].encode())
+            cut = draw.randint(0, sd.BEFORE)
+            after.append((gram + draw.choice(cores)[:cut] + "y" * draw.randint(0, 9))[: sd.WINDOW].encode())
+        alone = [draw.random() < 0.8 for _ in before]
+        monkeypatch.setattr(sd, "PAIRS", 10**6)
+        by_pairs = sd.edges(before, after, alone)
+        monkeypatch.setattr(sd, "PAIRS", 0)
+        assert sd.edges(before, after, alone) == by_pairs
+
+
 def rows(df, **options):
     texts = sd._read(df, "text", "doc_id")
     return sd._removed(texts, sd.covered(texts, **options)).collect()
 
 
-@pytest.mark.parametrize("large", [2, 256])
+@pytest.mark.parametrize("large", [2, 20_000])
 def test_equals_brute_force(docs_of, large):
     draw = random.Random(8)
     letters = "abcdefgh é"
