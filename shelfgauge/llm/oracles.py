@@ -8,7 +8,7 @@ from shelfgauge.llm.quality_rules import (
     MENU_LINE,
     MOST_LOST,
     MOST_REPEATED,
-    NOTICE,
+    NOTICES,
     SHORT,
     SYMBOLS,
     WINDOW,
@@ -65,7 +65,7 @@ with texts as (
     )
 ), seen as (
     select *, row_number() over (partition by n, line order by pos) > 1 as repeated,
-        regexp_matches(line, {_sql("(?i)" + NOTICE)}) as notice
+        {" or ".join(f"contains(lower(line), {_sql(notice)})" for notice in NOTICES)} as notice
     from lines where own > 0
 ), judged as (
     select *, repeated or notice
