@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 
 
 class Tokens:
-    """``encode(text)``: the ids as little-endian 32-bit numbers, without special tokens.
+    """``encode(text)``: the ids as little-endian 32-bit numbers, no special tokens added.
 
     Reads the vocabulary as merge ranks, which gives the ids that the tokenizer file of
-    the same vocabulary gives, several times as fast. Names of special tokens within a
-    text are ordinary text.
+    the same vocabulary gives, several times as fast. Tokens that the file adds to the
+    vocabulary, such as ``<|endoftext|>``, are one id where a text holds them, as there.
+    Given ``ranks`` of another vocabulary have the added tokens of ``tokenizer``, if any.
     """
 
-    def __init__(self, ranks: str | None = None) -> None:
+    def __init__(self, ranks: str | None = None, tokenizer: str | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
+        if ranks is None and tokenizer is None:
+            tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        added = {}
+        if tokenizer is not None:
+            with open(tokenizer, encoding="utf-8") as file:
+                added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
             pairs = (line.split() for line in file)
             merges = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.encoding = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=added
         )
 
+    def _ids(self, text: str) -> list[int]:
+        return self.encoding.encode(text, allowed_special="all")
+
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
 
     def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+        return len(self._ids(text))

@@ -27,6 +27,21 @@ def test_ids_equal_the_tokenizer_file(reference):
         assert encoder.encode(text) == np.array(reference(text), "<u4").tobytes(), text
 
 
+def test_added_tokens_are_one_id_as_in_the_tokenizer_file(docs_of):
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda text: found.encode(text, add_special_tokens=False).ids
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    draw = random.Random(6)
+    some = ["<|endoftext|>", " ", "\n", "  ", "a", "'s", "1", "é", "<|", "|>", "endoftext", "🎉"]
+    encoder = Tokens()
+    for _ in range(4000):
+        text = "".join(draw.choice(some) for _ in range(draw.randint(0, 12)))
+        assert encoder.encode(text) == np.array(ids(text), "<u4").tobytes(), text
+        assert encoder.count(text) == len(ids(text))
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 70]
+    check(packing.pack(docs_of(*texts), window=64).collect(), 64, dict(enumerate(map(ids, texts))))
+
+
 def test_the_tree_finds_the_tightest_room():
     draw = random.Random(2)
     for window in (5, 16, 100):
