@@ -32,6 +32,20 @@ def numbered(df: DataFrame, name: str, number: str = "row") -> DataFrame:
     return store(df.withColumn(number, F.monotonically_increasing_id()), name)
 
 
+def in_order(df: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of ``df`` with ``file`` and ``at``, which rise in the order of its rows.
+
+    A frame that reads written files has the order in which they were written: by part
+    number, then by place in the file, however Spark deals the files to tasks. Any other
+    frame has that of its partitions.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return df.select(*columns, F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    part = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 20, "0")
+    return df.select(*columns, F.concat(part, path).alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 256) -> Iterator[list[list]]:
     """Columns as Python lists, few rows at a time."""
     for batch in batches:

@@ -5,9 +5,11 @@ windows first; the rest of each document goes, longest first, into the open wind
 the least room that still holds it. A segment tree over the possible amounts of room
 finds that window.
 
-Pieces are numbered in a written table and dealt by number into shards of about
-``SHARD`` pieces, each packed alone, in order of length and number: a shard that runs
-again gives the same windows. Shards leave at most a few windows with much room each.
+Pieces are numbered in the order of the documents' rows (of written files: by file and
+place in it), so a mix stays a mix. Runs of about ``SHARD`` pieces in that order are
+shards, each packed alone by length and number: a shard that runs again gives the same
+windows. Sequences are numbered by shard and, within one, by the number of the window's
+longest piece. Shards leave at most a few windows with much room each.
 A window whose tokens are a power of two is left at that; all others are padded.
 
 Null texts count as empty and are one end id. Null and repeated ids are carried through,
@@ -21,9 +23,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from shelfgauge.llm.common import map_rows, numbered, pieces, whole
+from shelfgauge.llm.common import in_order, map_rows, pieces, store, whole
 from shelfgauge.llm.tokens import Tokens
 
 WINDOW = 1024
@@ -75,38 +77,71 @@ def cut(ids: bytes, window: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _tokenized(docs: DataFrame, text: str, doc_id: str, window: int, ranks: str | None) -> DataFrame:
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    """Pieces, each with the file and first row of its run of rows, and its number there."""
+    narrow = in_order(docs, F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    schema = (
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
+        "file string, run long, nth long"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encoder = Tokens(ranks)
-        for keys, texts in pieces(batches, "doc_id", "text"):
-            for key, value in zip(keys, texts):
+        before, first, nth = None, 0, 0
+        for part in pieces(batches, "doc_id", "text", "file", "at"):
+            for key, value, file, at in zip(*part):
+                if (file, at - 1) != before:
+                    first, nth = at, 0
+                before = file, at
                 ids = encoder.encode(value) + END
                 for piece in cut(ids, window):
-                    yield key, *piece, len(ids) // 4
+                    yield key, *piece, len(ids) // 4, file, first, nth
+                    nth += 1
 
     return map_rows(narrow, schema, run)
 
 
+def _placed(window: int, rows: list[tuple], shard: int) -> Iterator[tuple]:
+    """The pieces of a shard, longest first, each with its window and place there."""
+    rooms = Rooms(window)
+    found: list[tuple[int, int]] = []
+    leaders: list[int] = []
+    for _, _, length, _, _, number in rows:
+        at, room = rooms.take(length) or (len(leaders), window)
+        if at == len(leaders):
+            leaders.append(number)
+        if room > length:
+            rooms.put(room - length, at)
+        found.append((at, window - room))
+    order = {at: place for place, at in enumerate(sorted(range(len(leaders)), key=leaders.__getitem__))}
+    for row, (at, offset) in zip(rows, found):
+        yield *row[:-1], shard * PER_SHARD + order[at], offset
+
+
 def _packed(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows sorted by shard and falling length, each with its window and place there."""
-    shard = rooms = None
-    n = 0
-    for part in pieces(batches, "shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens"):
+    """Rows sorted by shard and falling length; a shard is held at a time."""
+    shard, rows = None, []
+    names = "shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"
+    for part in pieces(batches, *names):
         for own, *row in zip(*part):
             if own != shard:
-                shard, rooms, n = own, Rooms(window), 0
-            length = row[2]
-            found = rooms.take(length)
-            if found is None:
-                found = n, window
-                n += 1
-            at, room = found
-            if room > length:
-                rooms.put(room - length, at)
-            yield *row, shard * PER_SHARD + at, window - room
+                if rows:
+                    yield from _placed(window, rows, shard)
+                shard, rows = own, []
+            rows.append(tuple(row))
+    if rows:
+        yield from _placed(window, rows, shard)
+
+
+def _numbered(cuts: DataFrame) -> DataFrame:
+    """``number``: each piece's place in the order of the rows, from counts of the runs."""
+    runs = cuts.groupBy("file", "run").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file", "run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = store(
+        runs.select("file", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")),
+        "token-runs",
+    )
+    return cuts.join(F.broadcast(starts), ["file", "run"]).withColumn("number", F.col("before") + F.col("nth"))
 
 
 def pack(
@@ -118,13 +153,14 @@ def pack(
     ranks: str | None = None,
 ) -> DataFrame:
     """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    cuts = numbered(_tokenized(docs, text, doc_id, window, ranks), "token-pieces")
-    shards = max(1, -(-cuts.count() // shard))
-    order = F.col("length").desc(), F.col("row")
+    cuts = store(_tokenized(docs, text, doc_id, window, ranks), "token-pieces")
+    total = cuts.count()
+    shards = max(1, -(-total // shard))
     dealt = (
-        cuts.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+        _numbered(cuts)
+        .withColumn("shard", F.expr(f"number * {shards} div {max(1, total)}"))
         .repartition("shard")
-        .sortWithinPartitions("shard", *order)
+        .sortWithinPartitions("shard", F.col("length").desc(), "number")
     )
     kind = cuts.schema["doc_id"].dataType.simpleString()
     schema = (

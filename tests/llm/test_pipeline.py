@@ -54,6 +54,35 @@ def test_packing_holds_every_token(stages, reference):  # noqa: F811
     check(stages[5], 1024, {r.doc_id: reference(r.text) for r in stages[4]})
 
 
+@pytest.mark.parametrize("written", [True, False])
+def test_the_mix_order_reaches_the_sequences(spark, tmp_path, monkeypatch, written):
+    """Sources of one size and weights 3 to 1: each stretch of sequences has the mix's shares."""
+    rows = [(i, "word " * (i % 90 + 1), "en", "a" if i < 3000 else "b", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix(docs.repartition(4), {"a": 3, "b": 1}, block=4)
+    if written:
+        # Files of unequal size, which Spark reads longest first.
+        mixed = mixed.coalesce(3)
+        mixed.write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/mix")
+        mixed = spark.read.parquet(f"{tmp_path}/mix")
+    pack = corpus_pipeline.packing.pack
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs: pack(docs, window=128, shard=400))
+    packed = corpus_pipeline.STAGES[-1][1](spark, mixed, "").collect()
+    assert len(packed) == 6000
+    packed.sort(key=lambda r: (r.sequence_id, r.offset))
+    by_shard = {}
+    for r in packed:
+        by_shard.setdefault(r.sequence_id >> 32, []).append("a" if r.doc_id < 3000 else "b")
+    # 4,000 rows at 3 to 1 until "a" ends, then "b" alone.
+    assert sorted(by_shard) == list(range(15)) and all(len(own) == 400 for own in by_shard.values())
+    shares = [by_shard[s].count("a") / 400 for s in range(15)]
+    assert all(abs(share - 0.75) < 0.03 for share in shares[:10]) and not any(shares[10:]), shares
+    # Within a shard too, sequences follow the mix by their longest piece.
+    leaders = [r.doc_id for r in packed if r.offset == 0 and r.sequence_id >> 32 < 10]
+    for at in range(0, len(leaders) - 100, 100):
+        assert 0.6 < sum(i < 3000 for i in leaders[at : at + 100]) / 100 < 0.9
+
+
 def test_columns_stay(stages):
     assert all(rows[0].asDict().keys() == stages[0][0].asDict().keys() for rows in stages[:5])
 
