@@ -1,19 +1,20 @@
 """Mixing (10): sources interleaved to target weights by proportionate-fair scheduling.
 
-Each source is a row of blocks of ``BLOCK`` documents. With p of Q slots as its share, its
-j-th block may start at slot floor((j - 1) Q / p) and must be placed before slot
-ceil(j Q / p). Placing the released block with the earliest deadline meets every
-deadline, so at any slot each source is less than one block from its target. The order
-repeats after Q slots, so one round of it (``ROUND`` slots, whatever the data) is worked
-out and every block's slot follows from its number.
-
-When a source has no blocks left, the shares of the others grow in proportion and a new
-phase begins. Every row comes out exactly once: the mix is an order, not a selection.
+Each source is a row of blocks of ``BLOCK`` documents. The target is the flow in which all
+sources are drawn at once, each in proportion to its exact weight; when a source runs out,
+the shares of the others grow and a new phase begins. A block may start at the slot in
+which the flow first touches it and must be placed before the slot by which the flow has
+passed it. Placing the released block with the earliest deadline meets every deadline, so
+after any number of slots each source is less than one block from its target. Releases and
+deadlines are whole numbers worked out from fractions: no error adds up, over phases either.
+
+Every row comes out exactly once: the mix is an order, not a selection. The slots are
+worked out in turn by one task, which holds a few numbers per source and reads no rows; a
+table with a row per block gives them to the rows. Any number of sources will do.
 
 Without weights, a source's target is proportional to the root of its rows, which lifts
 small sources. Weights given by name must be positive; sources without one are refused.
 Null is a source of its own, apart from the empty name (give it the weight of ``None``).
-More than ``MOST_SOURCES`` sources are refused, since a round is held in memory per phase.
 Rows with null or repeated ids are rows like others; an empty table gives an empty result;
 other columns, whatever their names, are carried along.
 """
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,11 +33,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from shelfgauge.llm.common import store
+from shelfgauge.llm.common import map_rows, pieces, store
 
 BLOCK = 16
 ROUND = 10_000
-MOST_SOURCES = 500
 
 
 def shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
@@ -69,32 +71,54 @@ def one_round(parts: Mapping[str, int]) -> list[str]:
     return order
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int) -> list[tuple]:
-    """Per phase and source: name, phase, first block, end block, first slot, round, share, places."""
-    left = {name: n for name, n in blocks.items() if n}
-    out, begin, phase = [], 0, 0
-    while left:
-        parts = shares({name: weights[name] for name in left}, slots)
-        order = one_round(parts)
-        places: dict[str, list[int]] = {name: [] for name in left}
-        for slot, name in enumerate(order):
-            places[name].append(slot)
-        rounds = min(n // parts[name] for name, n in left.items())
-        used = {name: rounds * parts[name] for name in left}
-        length = rounds * slots
-        for name in order if all(used[name] < n for name, n in left.items()) else ():
-            used[name] += 1
-            length += 1
-            if used[name] == left[name]:
-                break
-        for name in left:
-            first = blocks[name] - left[name]
-            if used[name]:
-                out.append((name, phase, first, first + used[name], begin, slots, parts[name], places[name]))
-        left = {name: n - used[name] for name, n in left.items() if n > used[name]}
-        begin += length
-        phase += 1
-    return out
+def turns(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple]:
+    """Per slot: source, number of its block, phase, slot and the source's share in the phase."""
+    names = sorted(name for name, n in blocks.items() if n)
+    exact = [Fraction(weights[name]) for name in names]
+    whole = math.lcm(*(weight.denominator for weight in exact))
+    rate = [int(weight * whole) for weight in exact]
+    size = [blocks[name] for name in names]
+    # Stretches of the flow between ends of sources: their end (as size / rate of a source
+    # that ends there), blocks of ended sources, and rates of the others in sum.
+    ends: list[int] = []
+    gone, flow = [0], [sum(rate)]
+    for i in sorted(range(len(names)), key=lambda i: Fraction(size[i], rate[i])):
+        if ends and size[ends[-1]] * rate[i] == size[i] * rate[ends[-1]]:
+            gone[-1] += size[i]
+            flow[-1] -= rate[i]
+        else:
+            ends.append(i)
+            gone.append(gone[-1] + size[i])
+            flow.append(flow[-1] - rate[i])
+    near = [size[i] / rate[i] for i in ends]
+
+    def reached(i: int, n: int) -> tuple[int, int]:
+        """The first slot that ends at or after the flow has n blocks of source i, and the last before."""
+        at = min(bisect_left(near, n / rate[i]), len(ends) - 1)
+        while at and n * rate[ends[at - 1]] <= size[ends[at - 1]] * rate[i]:
+            at -= 1
+        while n * rate[ends[at]] > size[ends[at]] * rate[i]:
+            at += 1
+        passed = flow[at] * n
+        return gone[at] - (-passed // rate[i]), gone[at] + passed // rate[i]
+
+    placed = [0] * len(names)
+    waiting = [(0, i) for i in range(len(names))]
+    ready: list[tuple[int, int]] = []
+    stretch = phase = 0
+    for slot in range(sum(size)):
+        while waiting and waiting[0][0] <= slot:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (reached(i, placed[i] + 1)[0], i))
+        before = stretch
+        while (slot - gone[stretch]) * rate[ends[stretch]] >= flow[stretch] * size[ends[stretch]]:
+            stretch += 1
+        phase += stretch > before and slot > 0
+        _, i = heapq.heappop(ready)
+        yield names[i], placed[i], phase, slot, rate[i] / flow[stretch]
+        placed[i] += 1
+        if placed[i] < size[i]:
+            heapq.heappush(waiting, (reached(i, placed[i])[1], i))
 
 
 def _placed(docs: DataFrame, source: str) -> DataFrame:
@@ -131,7 +155,9 @@ def schedule(
     block: int = BLOCK,
     slots: int = ROUND,
 ) -> DataFrame:
-    """Rows ``doc, block, phase, slot, place``: each row's slot in the mix and place in its block."""
+    """Rows ``doc, block, phase, slot, place, weight``: each row's slot in the mix, place in its
+    block and source's share in the phase. ``slots`` is no longer needed: no round is repeated.
+    """
     spark = docs.sparkSession
     rows = _placed(docs, source)
     counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
@@ -140,41 +166,31 @@ def schedule(
         counts.select("key", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")),
         "mix-starts",
     )
-    totals = starts.groupBy("key").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"More than {MOST_SOURCES} sources")
-    sizes = {row.key: row.n for row in totals}
-    if weights is None:
-        targets = {key: math.sqrt(n) for key, n in sizes.items()}
-    else:
+    totals = starts.groupBy("key").agg(F.sum("n").alias("n"))
+    targets = None
+    if weights is not None:
         targets = {"null" if name is None else f"={name}": w for name, w in weights.items()}
-        if missing := sorted(set(sizes) - set(targets)):
+        if wrong := sorted(key for key, w in targets.items() if not w > 0):
+            raise ValueError(f"Weights that are not positive: {', '.join(wrong)}")
+        named = spark.createDataFrame([(key,) for key in targets], "key string")
+        if missing := sorted(r.key for r in totals.join(named, "key", "left_anti").limit(20).collect()):
             raise ValueError(f"Sources without a weight: {', '.join(missing)}")
-    blocks = {key: -(-n // block) for key, n in sizes.items()}
-    plan = spark.createDataFrame(
-        phases(blocks, targets, slots),
-        "key string, phase int, first long, end long, begin long, slots long, share long, places array<int>",
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        sizes = {key: n for part in pieces(batches, "key", "n") for key, n in zip(*part)}
+        own = targets or {key: math.sqrt(n) for key, n in sizes.items()}
+        yield from turns({key: -(-n // block) for key, n in sizes.items()}, own)
+
+    plan = store(
+        map_rows(totals.coalesce(1), "key string, block long, phase int, slot long, weight double", run),
+        "mix-plan",
     )
-    number = F.col("place") + F.col("before")
-    turn = F.col("block") - F.col("first")
     return (
         rows.join(starts.drop("n"), ["key", "part"])
         .withColumn("block", F.expr(f"(place + before) div {block}"))
-        .withColumn("place", F.pmod(number, F.lit(block)))
-        .join(F.broadcast(plan), "key")
-        .where("block >= first and block < end")
-        .select(
-            "doc",
-            "block",
-            "phase",
-            (
-                F.col("begin")
-                + F.expr("(block - first) div share") * F.col("slots")
-                + F.element_at("places", (F.pmod(turn, F.col("share")) + 1).cast("int"))
-            ).alias("slot"),
-            "place",
-            (F.col("share") / F.col("slots")).alias("weight"),
-        )
+        .withColumn("place", F.pmod(F.col("place") + F.col("before"), F.lit(block)))
+        .join(plan, ["key", "block"])
+        .select("doc", "block", "phase", "slot", "place", "weight")
     )
 
 

@@ -1,5 +1,8 @@
+import math
 import random
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -35,6 +38,50 @@ def test_shares_add_up_and_follow_the_weights():
     assert sum(found.values()) == 1000 and found["a"] == 1
 
 
+def flow(blocks, weights, slots):
+    """Exact blocks of each source after each number of slots, by steps from end to end."""
+    got, time = dict.fromkeys(blocks, Fraction(0)), Fraction(0)
+    for slot in range(1, slots + 1):
+        while time < slot:
+            live = [s for s in blocks if got[s] < blocks[s]]
+            total = sum(Fraction(weights[s]) for s in live)
+            step = min([slot - time] + [(blocks[s] - got[s]) * total / Fraction(weights[s]) for s in live])
+            for s in live:
+                got[s] += step * Fraction(weights[s]) / total
+            time += step
+        yield got
+
+
+def test_many_slots_stay_within_a_block_of_exact_targets():
+    weights = {"a": 1 / 3, "b": 2 / 3 - 1e-6, "c": 1e-6}
+    seen, total = Counter(), sum(map(Fraction, weights.values()))
+    for name, block, phase, slot, weight in islice(mixing.turns(dict.fromkeys(weights, 10**6), weights), 200_000):
+        assert block == seen[name] and phase == 0 and weight == pytest.approx(weights[name])
+        seen[name] += 1
+        if slot % 97 == 0:
+            assert all(abs((slot + 1) * Fraction(w) / total - seen[s]) < 1 for s, w in weights.items())
+    assert seen["c"] <= 1
+
+
+def test_random_sources_stay_within_a_block_through_all_phases():
+    draw = random.Random(8)
+    for _ in range(40):
+        n = draw.randint(1, 14)
+        blocks = {f"s{i}": draw.choice([0, 1, 1, 2, 9, 40]) for i in range(n)}
+        weights = {s: draw.choice([1, 1, 0.1, 1 / 3, 1e-9, 7, draw.random() + 1e-3]) for s in blocks}
+        seen, found = Counter(), list(mixing.turns(blocks, weights))
+        assert len(found) == sum(blocks.values())
+        for (name, block, *_), want in zip(found, flow(blocks, weights, len(found))):
+            assert block == seen[name]
+            seen[name] += 1
+            assert all(abs(want[s] - seen[s]) < 1 for s in blocks)
+
+
+def test_weights_must_be_positive(sourced):
+    with pytest.raises(ValueError, match="not positive"):
+        mixing.schedule(sourced({"a": 1}), {"a": 0})
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
 def test_every_row_once_and_each_prefix_on_target(sourced, weights):
     sizes = {"a": 700, "b": 95, "c": 160}
