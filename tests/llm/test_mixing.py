@@ -77,6 +77,18 @@ def test_random_sources_stay_within_a_block_through_all_phases():
             assert all(abs(want[s] - seen[s]) < 1 for s in blocks)
 
 
+def test_many_sources_take_their_turns(sourced):
+    sizes = {f"site{i}": 1 + i % 3 for i in range(1200)} | {"big": 400}
+    rows = mixing.schedule(sourced(sizes), block=1).collect()
+    assert Counter(r.doc.source for r in rows) == sizes
+    assert sorted(r.slot for r in rows) == list(range(sum(sizes.values())))
+    blocks, weights = sizes, {s: math.sqrt(n) for s, n in sizes.items()}
+    first = sorted((r.slot, r.doc.source) for r in rows)[:1000]
+    total = sum(weights.values())
+    assert abs(sum(s == "big" for _, s in first) - 1000 * weights["big"] / total) < 1
+    assert [s for _, s in first] == [t[0] for t in islice(mixing.turns(blocks, weights), 1000)]
+
+
 def test_weights_must_be_positive(sourced):
     with pytest.raises(ValueError, match="not positive"):
         mixing.schedule(sourced({"a": 1}), {"a": 0})
