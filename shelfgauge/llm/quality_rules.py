@@ -1,9 +1,9 @@
 """Quality rules (3): clean line by line, then reject texts that lost too much.
 
 A line fails by punctuation (many symbols or exclamation marks for its words, or short
-without an end mark), navigation (a row of menu entries), boilerplate (licence, cookie
-and rights notices) or repetition (equal to an earlier line with a word). Failed lines
-go. A text is rejected if the base rules fail (under ten words, or over a fifth of its
+without an end mark), navigation (a row of menu entries of few words each), boilerplate
+(licence, cookie and rights notices; a line of over ``NOTICE_WORDS`` words only mentions
+them) or repetition (equal to an earlier line with a word). Failed lines go. A text is rejected if the base rules fail (under ten words, or over a fifth of its
 words in repeated windows of five), if over half of its words went with failed lines, or
 if no words are left. Notices go without counting as a loss, since good texts carry them.
 
@@ -30,6 +30,9 @@ MOST_REPEATED = 20
 MOST_LOST = 50
 #: A line with fewer words needs an end mark.
 SHORT = 5
+#: A notice is a line of at most so many words; a menu entry has at most so many.
+NOTICE_WORDS = 20
+ENTRY_WORDS = 4
 
 #: Symbols that count, marks that end a line, menu entries, notices.
 SYMBOLS = "#*$%&|<>"
@@ -46,6 +49,12 @@ _WORD = re.compile(rf"[^{SPACE}]+")
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
 _END = re.compile(END)
 _MENU_LINE = re.compile(MENU_LINE)
+_BAR = re.compile(rf"[|>»•·/]|(?<![^{SPACE}])-(?![^{SPACE}])")
+
+
+def _short_entries(line: str) -> bool:
+    """Whether bars cut the line into entries of few words; hyphens within words do not."""
+    return all(len(_WORD.findall(entry)) <= ENTRY_WORDS for entry in _BAR.split(line))
 
 
 def line_fails(line: str, n_words: int) -> bool:
@@ -54,7 +63,7 @@ def line_fails(line: str, n_words: int) -> bool:
         4 * len(_SYMBOL.findall(line)) > n_words
         or 2 * line.count("!") > n_words
         or (n_words < SHORT and not _END.search(line))
-        or bool(_MENU_LINE.search(line))
+        or (bool(_MENU_LINE.search(line)) and _short_entries(line))
     )
 
 
@@ -98,7 +107,7 @@ def judge(text: str) -> tuple[int, int, int, int, int, bool, bool, int, str]:
         words += own
         again = bool(own) and line in seen
         duplicates += again
-        notice = some_notice and _has_notice(line)
+        notice = some_notice and len(own) <= NOTICE_WORDS and _has_notice(line)
         if own and (again or notice or line_fails(line, len(own))):
             lost += 0 if notice else len(own)
         else:

@@ -49,6 +49,24 @@ def test_notices_are_no_loss():
     assert kept(f"{PROSE}\nThis work is licensed under the GNU General Public License, version 3, as published.")
 
 
+def test_long_lines_that_mention_notices_stay():
+    for phrase in ("click here", "privacy policy", "subscribe to", "is licensed", "©"):
+        long = f"The report explains at length why readers rarely {phrase} and what the writers of the three oldest papers make of it today."
+        assert kept(long) and left(f"{PROSE}\n{long}") == f"{PROSE}\n{long}"
+        assert left(f"{PROSE}\nPlease {phrase} now.") == PROSE
+
+
+def test_sentences_that_begin_like_menus_stay():
+    for line in (
+        "Back-to-back wins gave the team a lead that nobody had expected.",
+        "Home-made bread needs no more than flour, water, salt and time.",
+        "Search - or so the makers of the tool say - is a solved problem.",
+    ):
+        assert left(f"{PROSE}\n{line}") == f"{PROSE}\n{line}"
+    for line in ("Home | About us | Contact", "Back - Next", "Menu", "Home / Books / New and old ones."):
+        assert left(f"{PROSE}\n{line}") == PROSE
+
+
 def test_rows_and_cleaning(docs_of):
     docs = docs_of((1, PROSE), (1, PROSE), (None, None), (2, ""), (3, f"{PROSE}\nLogin"))
     rows = quality_rules.judge_lines(docs).collect()
