@@ -1,11 +1,12 @@
 import pathlib
 import sys
 
-import pytest
-from pyspark.sql import SparkSession
-
 sys.path[:0] = [str(pathlib.Path(__file__).parent.parent), str(pathlib.Path(__file__).parent)]
 
+import pytest  # noqa: E402
+from feed_rows import GOOD  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -23,24 +24,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-LONG = " ".join(["word"] * 20)
-
-GOOD = {
-    "product_id": "A1",
-    "title": "Women's Wool Scarf",
-    "category": "Scarves",
-    "material": "Wool",
-    "colour": "Green",
-    "description": LONG,
-    "price": "25.00",
-    "gender": "Women",
-    "size_range": "One Size",
-    "season": "Winter",
-    "keywords": "scarf, wool",
-    "stock_status": "In Stock",
-}
-
-
 @pytest.fixture
 def feed_of(spark):
     """Build a feed from dicts that name only what differs from a flawless product."""

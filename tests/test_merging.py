@@ -1,5 +1,5 @@
 import pytest
-from conftest import GOOD
+from feed_rows import GOOD
 from pyspark.sql import functions as F
 
 from shelfgauge.operators import first_results, merge_results

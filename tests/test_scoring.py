@@ -1,5 +1,5 @@
 import pytest
-from conftest import LONG
+from feed_rows import LONG
 from pyspark.sql import functions as F
 
 from shelfgauge.operators import (

@@ -3,7 +3,7 @@ import pathlib
 import sys
 
 import pytest
-from conftest import GOOD
+from feed_rows import GOOD
 from pyspark import cloudpickle
 from pyspark.errors import StreamingQueryException
 
