@@ -31,9 +31,6 @@ from shelfgauge.llm.tokens import Tokens
 
 BUDGET = 1024
 HISTORY = 256
-#: Tokens counted for a turn's marks.
-MARKS = 8
-
 #: The marks of this template, and how other control strings go on after
 #: their first character.
 TURN, TEXT, END = "[TURN]", "[TEXT]", "[/TURN]"
@@ -56,6 +53,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+def marked(role: str, text: str) -> str:
+    """One turn as it is written."""
+    return f"{TURN}{escape(role)}{TEXT}{escape(text)}{END}"
+
+
 def written(turns: list[tuple[str, str]], n_old: int) -> tuple[str, list[dict[str, int]]]:
     """The formatted turns, and where the texts of assistants after the first ``n_old`` lie."""
     parts, loss, at = [], [], 0
@@ -71,8 +73,9 @@ def written(turns: list[tuple[str, str]], n_old: int) -> tuple[str, list[dict[st
 class Cutter:
     """Turns of one conversation in, windows out."""
 
-    def __init__(self, budget: int, history: int) -> None:
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, shared: int = 0) -> None:
+        """Where two turns meet, ``shared`` tokens fewer are needed than for each alone."""
+        self.budget, self.history, self.shared = budget - shared, history, shared
         self.system: list[tuple[str, str]] = []
         self.system_tokens = self.n = self.n_old = 0
         self.turns: list[tuple[str, str]] = []
@@ -85,7 +88,7 @@ class Cutter:
         n_system = len(self.system)
         row = (
             self.n, n_system, self.n_old, len(self.turns) - self.n_old,
-            self.system_tokens + self.sums[-1], text, loss,
+            self.system_tokens + self.sums[-1] + self.shared, text, loss,
         )
         self.n += 1
         return row
@@ -98,6 +101,7 @@ class Cutter:
         self.n_old = len(self.turns)
 
     def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
+        tokens -= self.shared
         if role == "system" and not self.n and not self.turns and not self.system:
             self.system, self.system_tokens = [(role, text)], tokens
             return
@@ -118,7 +122,9 @@ def format_conversations(
     """Rows ``conv_id, turn, role, text`` to windows: ``conv_id`` and ``WINDOWS``.
 
     ``loss`` holds the spans of ``text``, in code points, that are learnt. The system turn
-    of later windows and the history are not.
+    of later windows and the history are not. ``n_tokens`` counts the tokens of ``text``,
+    marks and escapes included; it exceeds ``budget`` only where one new turn, with the
+    system turn, does. Windows of a conversation follow each other in one partition.
     """
     ordered = (
         turns.select("conv_id", "turn", whole("role").alias("role"), whole("text").alias("text"))
@@ -129,14 +135,15 @@ def format_conversations(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encoder = Tokens(ranks)
+        shared = encoder.count(END[-1]) + encoder.count(TURN[0]) - encoder.count(END[-1] + TURN[0])
         cutter = key = None
         for part in pieces(batches, "conv_id", "role", "text"):
             for own, role, text in zip(*part):
                 if cutter is None or own != key:
                     if cutter:
                         yield from ((key, *row) for row in cutter.close())
-                    cutter, key = Cutter(budget, history), own
-                tokens = encoder.count(text) + MARKS
+                    cutter, key = Cutter(budget, history, shared), own
+                tokens = encoder.count(marked(role, text))
                 yield from ((key, *row) for row in cutter.add(role, text, tokens))
         if cutter:
             yield from ((key, *row) for row in cutter.close())
@@ -170,9 +177,15 @@ class Reader:
         )
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Per conversation, from its windows alone: turns, learnt text, and their hashes."""
-    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window_no")
+def read_back(windows: DataFrame, adjacent: bool = False) -> DataFrame:
+    """Per conversation, from its windows alone: turns, learnt text, and their hashes.
+
+    Windows that come straight from :func:`format_conversations` are ``adjacent``; then
+    they need not be shuffled.
+    """
+    ordered = windows
+    if not adjacent:
+        ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window_no")
     kind = ordered.schema["conv_id"].dataType.simpleString()
     schema = (
         f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "

@@ -58,6 +58,12 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, with any number of zeros before."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or 0) <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for place, digit in enumerate(reversed(digits)):
@@ -114,7 +120,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
             if at >= done["ip"]:
                 if address := _IP.match(text, at):
                     done["ip"] = address.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in address.groups()):
+                    if all(map(_octet, address.groups())):
                         spans["ip"].append(address.span())
                 else:  # no later start within these digits can match either
                     done["ip"] = _DIGITS.match(text, at).end()

@@ -43,7 +43,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     extra = [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)]
     turns = turns.unionByName(spark.createDataFrame(extra, turns.schema))
-    return chat.read_back(chat.format_conversations(turns))
+    return chat.read_back(chat.format_conversations(turns), adjacent=True)
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:

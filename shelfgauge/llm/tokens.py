@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 import numpy as np
 
+#: Runs of white space that are cut out by hand: the splitting pattern backtracks through
+#: a run and fails on one of about a million characters.
+_LONG = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{50000,}")
+
 
 class Tokens:
     """``encode(text)``: the ids as little-endian 32-bit numbers, no special tokens added.
@@ -30,12 +35,20 @@ class Tokens:
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
             pairs = (line.split() for line in file)
             merges = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.added = tuple(added)
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=added
         )
 
     def _ids(self, text: str) -> list[int]:
-        return self.encoding.encode(text, allowed_special="all")
+        ids, at = [], 0
+        for run in _LONG.finditer(text):
+            # The pattern leaves the last character of a run to what follows in the same stretch.
+            end = run.end() - (run.end() < len(text) and not text.startswith(self.added, run.end()))
+            ids += self.encoding.encode(text[at : run.start()], allowed_special="all")
+            ids += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.encoding.encode(text[at:], allowed_special="all")
 
     def encode(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()

@@ -1,10 +1,5 @@
-import pathlib
-import sys
-
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).parent))
-
 FOLDER = "/root/testdata/sf0.001"
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from shelfgauge.llm import chat
+from shelfgauge.llm.tokens import Tokens
 
 SCHEMA = "conv_id long, turn long, role string, text string, window_no string, loss int"
 
@@ -51,9 +52,13 @@ def test_round_trip_through_windows(turns_of, budget, history):
     windows = chat.format_conversations(turns_of(shuffled), budget, history)
     got = {r.conv_id: tuple(r[1:5]) for r in chat.read_back(windows).collect()}
     assert got == brute(rows)
+    straight = chat.read_back(chat.format_conversations(turns_of(shuffled), budget, history), adjacent=True)
+    assert {r.conv_id: tuple(r[1:5]) for r in straight.collect()} == got
+    encoder = Tokens()
     for w in windows.collect():
+        assert w.n_tokens == encoder.count(w.text)
         old = w.n_system * (w.window_no > 0) + w.n_history
-        assert w.n_tokens <= budget or w.n_new == 1 or (w.n_new == 0 and w.n_system)
+        assert w.n_tokens <= budget or (w.n_new <= 1 and w.n_history == 0)
         assert w.text.count(chat.TURN) == w.n_system + w.n_history + w.n_new
         learnt = [chat.unescape(w.text[s.start : s.end]) for s in w.loss]
         turns = [tuple(map(chat.unescape, m.groups())) for m in chat._TURNS.finditer(w.text)]
@@ -82,3 +87,19 @@ def test_nulls_ties_and_repeats(turns_of):
 def test_empty(turns_of):
     none = turns_of([(1, 0, "user", "a")]).where("false")
     assert chat.read_back(chat.format_conversations(none)).collect() == []
+
+
+def test_many_short_turns_stay_within_the_budget(turns_of):
+    rows = [(1, t, "assistant" if t % 2 else "user", "<|x|> ok") for t in range(400)]
+    rows += [(2, t, "", "") for t in range(400)]
+    encoder = Tokens()
+    windows = chat.format_conversations(turns_of(rows)).collect()
+    assert len(windows) > 4
+    assert all(encoder.count(w.text) == w.n_tokens <= chat.BUDGET for w in windows)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, " \n\t" * 700_000, "a" * 2_000_000])
+def test_very_long_texts(turns_of, text):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", text), (1, 2, "user", "ok"), (2, 0, "assistant", text)]
+    got = {r.conv_id: tuple(r[1:5]) for r in chat.read_back(chat.format_conversations(turns_of(rows))).collect()}
+    assert got == brute(rows)

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from shelfgauge.llm import packing
+from shelfgauge.llm import packing, tokens
 from shelfgauge.llm.tokens import Tokens
 
 
@@ -116,3 +117,21 @@ def test_the_same_rows_give_the_same_windows(docs_of):
 
 def test_empty(docs_of):
     assert packing.pack(docs_of("a").where("false")).collect() == []
+
+
+def test_runs_of_white_space_equal_the_tokenizer_file(monkeypatch):
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "_LONG", re.compile(tokens._LONG.pattern.replace("50000", "3")))
+    draw, encoder = random.Random(1), Tokens()
+    some = ["<|endoftext|>", " ", "\n", "  ", "a", "'s", "\x1c", "é", "\xa0", "\u3000", "   ", "\t"]
+    for _ in range(5000):
+        text = "".join(draw.choice(some) for _ in range(draw.randint(0, 14)))
+        want = found.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(want, "<u4").tobytes(), text
+
+
+def test_very_long_runs_amid_other_rows(docs_of):
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b", " " * 2_000_000, "x" + "\n" * 2_000_000 + " y", " \t\n" * 700_000, "a" * 2_000_000, ""]
+    ids = {i: found.encode(text, add_special_tokens=False).ids for i, text in enumerate(texts)}
+    check(packing.pack(docs_of(*texts)).collect(), 1024, ids)

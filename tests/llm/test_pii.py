@@ -54,6 +54,14 @@ def test_very_long_texts_take_linear_time():
         assert base(pii.find(text, anchors))["phone"] == []
 
 
+def test_parts_with_very_many_zeros():
+    anchors = pii._automaton()
+    zeros = "0" * 5000
+    assert pii.find(f"{zeros}1.2.3.4", anchors)["ip"] == [(0, 5007)]
+    assert pii.find(f"1.{zeros}255.3.{zeros}", anchors)["ip"] == [(0, 10007)]
+    assert pii.find(f"1.{zeros}256.3.4", anchors)["ip"] == []
+
+
 def test_rows(docs_of):
     rows = pii.find_spans(docs_of((1, "x@y.zz"), (1, "x@y.zz"), (None, None), (2, ""))).collect()
     nothing = hashlib.sha256(b"").hexdigest()
