@@ -28,10 +28,15 @@ KINDS = (*BASE, "login", "account")
 
 #: Words that announce an identifier.
 CUES = (
+    "access key", "access-key", "access_key", "accesskey",
     "account", "acct", "api key", "api-key", "api_key", "apikey", "iban", "passport",
-    "passwd", "password", "pwd", "secret", "ssn", "token",
+    "passwd", "password", "pwd", "secret", "secret access key", "secret key", "secret-key",
+    "secret_access_key", "secret_key", "secretkey", "ssn", "token",
 )
 
+#: Cues are found in any case; the lower-cased copy has the length of the text.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -52,8 +57,7 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(sign, (sign, 1))
     found.add_word("://", ("://", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -89,7 +93,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
     """All spans of a text by kind, each in order; ends are exclusive."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     done = dict.fromkeys(KINDS, 0)  # up to where each kind has used the text
-    for last, (sign, width) in anchors.iter(text):
+    for last, (sign, width) in anchors.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = last - width + 1
         if sign == "@":
             start, low = at, done["email"]

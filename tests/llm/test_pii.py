@@ -38,6 +38,17 @@ def test_known_spans():
     assert "4111" not in clean and "joe" not in clean and clean.startswith("Write to <EMAIL>. Card <CARD>,")
 
 
+def test_cues_in_any_case_and_joined_forms():
+    anchors = pii._automaton()
+    for text in (
+        "API key: abcd1234efgh", "Api Key: abcd1234efgh", "SecretKey=abcd1234efgh", "PassWord = abcd1234efgh",
+        "secret_access_key = abcd1234efgh", "my_secret_key: abcd1234efgh", "Access-Key=abcd1234efgh",
+    ):
+        (start, end), = pii.find(text, anchors)["account"]
+        assert text[start:end] == "abcd1234efgh"
+    assert pii.find("É token = abcd1234efgh", anchors)["account"] == [(10, 22)]
+
+
 def test_clean_texts_are_left_alone():
     anchors = pii._automaton()
     for text in (
@@ -58,7 +69,7 @@ def test_parts_with_very_many_zeros():
     anchors = pii._automaton()
     zeros = "0" * 5000
     assert pii.find(f"{zeros}1.2.3.4", anchors)["ip"] == [(0, 5007)]
-    assert pii.find(f"1.{zeros}255.3.{zeros}", anchors)["ip"] == [(0, 10007)]
+    assert pii.find(f"1.{zeros}255.3.{zeros}", anchors)["ip"] == [(0, 10008)]
     assert pii.find(f"1.{zeros}256.3.4", anchors)["ip"] == []
 
 
