@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, warc
+from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_model, quality_rules, simhash, spelling, suffix_dedup, warc
 from shelfgauge.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(docs).select("doc.*", "block", "phase", "slot", "place", "weight")
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -67,4 +71,5 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op13_spelling": op13_spelling,
 }

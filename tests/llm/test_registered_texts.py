@@ -17,6 +17,9 @@ COLUMNS = {
     8: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     9: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     10: "doc_id source slot",
+    11: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    12: "doc_id n_words n_removed kept_sha256",
+    13: "word form root n n_near form_n",
 }
 
 
@@ -25,7 +28,7 @@ def test_entry_points_register_the_queries():
 
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
