@@ -116,8 +116,55 @@ select page_id, payload_bytes,
 from bits
 """
 
+#: The checksum of a text column, bit by bit.
+_CRC32 = """xor(list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))
+), 4294967295::BIGINT)"""
+
+OP11 = f"""
+with own as (
+    select conv_id as c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first) as turns
+    from conversations
+    where conv_id is not null
+    group by conv_id
+), heads as (
+    select c, turns, c - c % 20 as base, {_CRC32.format(text="c::varchar")} % 4 as h
+    from own
+), rebuilt as (
+    select a.c, coalesce(b.turns, [])[1:a.h] || a.turns[a.h + 1:] as turns
+    from heads a left join own b on b.c = a.base
+), prefixes as (
+    select c, d, len(turns) as size, md5(to_json(turns[1:d])::varchar) as node,
+        md5(to_json(turns[1:d - 1])::varchar) as up,
+        case when d = 0 then 0 else len(regexp_extract_all(turns[d].text, '[^ \t\n\x0b\x0c\r]+')) end as words
+    from (select c, turns, unnest(range(len(turns) + 1)) as d from rebuilt)
+), nodes as (
+    select node, d, min(c) as conv_id, count(*) as n_convs, min(up) as up, min(words) as words,
+        coalesce(string_agg(c::varchar, ',' order by c) filter (where d = size), '') as ends
+    from prefixes
+    group by node, d
+), kids as (
+    select up as node, d - 1 as d, count(*) as n_children from nodes where d > 0 group by up, d - 1
+), full_nodes as (
+    select n.*, coalesce(k.n_children, 0) as n_children
+    from nodes n left join kids k on k.node = n.node and k.d = n.d
+), below as (
+    select p.node, p.d, sum((n.n_children = 0)::bigint) as n_leaves, sum((n.n_convs - 1) * n.words) as saved
+    from full_nodes n join prefixes p on p.c = n.conv_id and p.d <= n.d
+    group by p.node, p.d
+)
+select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children::bigint as n_children,
+    b.n_leaves::bigint as n_leaves, b.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from full_nodes n
+join below b on b.node = n.node and b.d = n.d
+left join nodes u on n.d > 0 and u.node = n.up and u.d = n.d - 1
+"""
+
 ORACLES = {
     "op1_exact_dedup": OP1,
     "op3_quality_rules": OP3,
     "op4_warc": OP4,
+    "op11_prefix_trie": OP11,
 }

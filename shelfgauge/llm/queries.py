@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfgauge.llm import chat, exact_dedup, mixing, packing, pii, quality_model, quality_rules, simhash, spelling, suffix_dedup, warc
+from shelfgauge.llm import (
+    chat, exact_dedup, mixing, packing, pii, prefix_trie, quality_model, quality_rules, simhash, spelling,
+    suffix_dedup, warc,
+)
 from shelfgauge.llm.common import table
 
 
@@ -56,6 +59,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(docs).select("doc.*", "block", "phase", "slot", "place", "weight")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.group_variants(table(spark, folder, "documents"))
 
@@ -71,5 +78,6 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_spelling": op13_spelling,
 }

@@ -1,0 +1,131 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from shelfgauge.llm import prefix_trie as pt
+
+SCHEMA = "conv_id long, turn long, role string, text string, path string, words int, shard long"
+
+
+@pytest.fixture
+def turns_of(spark):
+    return lambda rows: spark.createDataFrame([(*row, "x", 1, 2) for row in rows], SCHEMA)
+
+
+def rebuild(rows):
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    def order(turns):
+        digest = lambda t: hashlib.md5(f"{len(t[2])}:{t[2]}{t[3]}".encode()).hexdigest()
+        return [t[2:] for t in sorted(turns, key=lambda t: (t[0], t[1], digest(t)))]
+
+    own = {conv: order(turns) for conv, turns in own.items()}
+    out = {}
+    for conv, turns in own.items():
+        h = zlib.crc32(str(conv).encode()) % 4
+        out[conv] = tuple(own.get(conv - conv % 20, [])[:h] + turns[h:])
+    return out
+
+
+def brute(conversations):
+    members = {}
+    for conv, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(conv)
+    weight = {
+        node: (len(convs) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        for node, convs in members.items()
+    }
+    kids = {node: 0 for node in members}
+    for node in members:
+        if node:
+            kids[node[:-1]] += 1
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for node in members:
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += kids[node] == 0
+            saved[node[:d]] += weight[node]
+    rows = []
+    for node, convs in members.items():
+        ends = ",".join(str(c) for c in sorted(convs) if conversations[c] == node)
+        rows.append((
+            min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), kids[node],
+            leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(rows, key=repr)
+
+
+COLUMNS = "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256".split()
+
+
+def got(df):
+    return sorted((tuple(r[name] for name in COLUMNS) for r in df.collect()), key=repr)
+
+
+def talk(draw, n, texts=("a", "b c", "", None)):
+    rows = []
+    for conv in range(n):
+        for turn in range(draw.choice([1, 1, 2, 3, 5, 8])):
+            rows.append((conv, turn, draw.choice(["user", "assistant", None]), draw.choice(texts)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_closing_parentheses(monkeypatch, block):
+    monkeypatch.setattr(pt, "BLOCK", block)
+    draw = random.Random(block)
+    for _ in range(300):
+        parens, stack, want, open_ = [], [], {}, 0
+        n = draw.randint(1, 60)
+        while len(want) < n:
+            if open_ < n and (not stack or draw.random() < 0.55):
+                stack.append(len(parens))
+                parens.append(1)
+                open_ += 1
+            elif stack and (len(stack) > 1 or open_ == n):
+                want[stack.pop()] = len(parens)
+                parens.append(0)
+            elif open_ < n:
+                continue
+        assert pt.find_close(np.array(parens, np.uint8)).tolist() == [want[p] for p in sorted(want)]
+
+
+@pytest.mark.parametrize("size, fan", [(200_000, 256), (30, 2), (5, 2), (1, 3)])
+def test_equals_brute_force(turns_of, size, fan):
+    draw = random.Random(size)
+    rows = talk(draw, 90) + [(200, 0, "user", "a")] * 3 + [(None, 1, "user", "a"), (301, None, None, None), (301, 0, "x", "y z")]
+    shuffled = draw.sample(rows, len(rows))
+    want = rebuild(rows)
+    assert any(not turns for turns in want.values())
+    assert got(pt.prefix_trie(pt.rebuilt(turns_of(shuffled)), size, fan)) == brute(want)
+
+
+def test_one_conversation_many_times_and_a_very_long_one(turns_of):
+    rows = [(c * 20, t, "user", "hello you") for c in range(60) for t in range(3)]
+    rows += [(7000, t, "user", f"turn {t}") for t in range(3000)] + [(7020, 0, "user", "w " * 500_000)]
+    want = brute(rebuild(rows[: 180]) | {})
+    assert got(pt.prefix_trie(pt.rebuilt(turns_of(rows[:180])), 10, 2)) == want
+    nodes = got(pt.prefix_trie(pt.rebuilt(turns_of(rows)), 50, 2))
+    assert len(nodes) == 1 + 3 + 3000 + 1
+    root = next(r for r in nodes if r[1] == 0)
+    assert root[3:6] == (62, 3, 3) and root[6] == 59 * 2 * 3
+    assert max(r[1] for r in nodes) == 3000
+
+
+def test_given_conversations_equal_brute_force(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in turns.collect()]
+    assert got(pt.prefix_trie(pt.rebuilt(turns), 100, 4)) == brute(rebuild(rows))
+
+
+def test_empty(turns_of):
+    none = turns_of([(1, 0, "user", "a")]).where("false")
+    assert pt.prefix_trie(pt.rebuilt(none)).collect() == []
+    only = pt.prefix_trie(pt.rebuilt(turns_of([(21, 0, "user", "a")])))
+    assert got(only) == brute(rebuild([(21, 0, "user", "a")]))
