@@ -44,9 +44,20 @@ def to_score(value: Column | str) -> Column:
 
 
 def round_tenth(value: Column) -> Column:
-    """Half-even rounding to one decimal.
+    """Half-even rounding to one decimal of the binary value, as Python's ``round(x, 1)``.
 
-    Ties are judged on the decimal text of the double, where Python's ``round`` looks at
-    the binary value: 73.35 becomes 73.4 here and 73.3 there.
+    73.35 is a little less than its decimal text says, so it becomes 73.3. Ten times the
+    value is taken apart into a double and what that leaves out, exactly; ties are judged
+    on both.
     """
-    return F.bround(value, 1)
+    x = value.cast("double")
+    tens = x * 10.0
+    shifted = x * float(2**27 + 1)
+    high = shifted - (shifted - x)
+    left_out = (high * 10.0 - tens) + (x - high) * 10.0
+    below = F.floor(tens)
+    over_half = (tens - below.cast("double") - 0.5) + left_out
+    up = (over_half > 0) | ((over_half == 0) & (below % 2 != 0))
+    rounded = (below + F.when(up, 1).otherwise(0)).cast("double") / 10.0
+    # beyond 2 ** 52 there are no fractions, and names of numbers stay
+    return F.when(F.isnan(x) | (F.abs(x) >= float(2**52)), x).otherwise(rounded)

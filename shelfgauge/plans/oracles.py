@@ -229,11 +229,11 @@ def _merged_repeats(results: str) -> str:
 _FIGURES = """select 'scalar' as part, name, number from (
     unpivot (
       select cast(count(*) as double) as total_products,
-        round_even(avg(quality_score), 1) as average_quality_score,
+        cast(format('{:.1f}', cast(avg(quality_score) as double)) as double) as average_quality_score,
         cast(count(*) filter (quality_score < 60) as double) as products_needing_review,
         cast(20 as double) as n_columns,
-        round_even(100 - round_even(avg(quality_score), 1), 1) as points_from_perfect,
-        round_even(count(*) filter (quality_score < 60) * cast(0.25 as double), 1) as hours_saved
+        cast(format('{:.1f}', cast(100 - cast(format('{:.1f}', cast(avg(quality_score) as double)) as double) as double)) as double) as points_from_perfect,
+        cast(format('{:.1f}', cast(count(*) filter (quality_score < 60) * cast(0.25 as double) as double)) as double) as hours_saved
       from merged)
     on columns(*) into name name value number) u
   union all
@@ -284,6 +284,43 @@ _SHOWN = (
     + "), lambda x: x <> ''), '|') end"
 )
 
+def _csv_cell(name: str) -> str:
+    quoted = f"""'"' || replace({name}, '"', '""') || '"'"""
+    text = f"cast({name} as varchar)"
+    return f"""case when {name} is null then '' when regexp_matches({text}, '[,"\\n\\r]') then {quoted.replace(name, text)} else {text} end"""
+
+
+_LINE = " || ',' || ".join(_csv_cell(name) for name in (*REQUIRED_COLUMNS, *MODEL_COLUMNS))
+_HEADER = ",".join((*REQUIRED_COLUMNS, *MODEL_COLUMNS))
+ORDERED_EXPORT = _on_merged(
+    f"""select row_number() over (order by part, product_id nulls last, line, nth) - 1 as position, piece as line
+    from (
+      select part, product_id, line, unnest(string_split(line, chr(10))) as piece,
+        generate_subscripts(string_split(line, chr(10)), 1) as nth
+      from (select 0 as part, null as product_id, '{_HEADER}' as line
+        union all select 1, product_id, {_LINE} from merged) l) p"""
+)
+
+#: The odd products arrive first, then the even ones.
+STREAM_BATCHES = f"""with {FEED}, told as (
+  select product_id, case when right(product_id, 1) in ('1', '3', '5', '7', '9') then 0 else 1 end as delivery from feed),
+placed as (
+  select *, row_number() over (partition by delivery order by product_id) - 1 as pos from told),
+sizes as (select ceil(count(*) filter (delivery = 0) / 8.0) as before from told)
+select product_id, cast(pos // 8 + delivery * before as bigint) as batch_id, cast(pos % 8 as integer) as item_no
+from placed, sizes"""
+
+_DEARER = "feed as (select * replace (case when right(product_id, 1) = '7' then '999.5' else price end as price) from given)"
+_FIRST_FEED = f"given as ({fixtures.for_oracle(fixtures.FEED)})"
+STREAM_CHANGES = (
+    f"select product_id, price, pre_score from (with {FEED}, {SCORED} select * from scored) "
+    f"union all select product_id, price, pre_score from (with {_FIRST_FEED}, {_DEARER}, {SCORED} select s.* from scored s "
+    "join given g on g.product_id = s.product_id where g.price is distinct from s.price)"
+)
+_BROKEN = (
+    "told as (select * replace (description || chr(13) || chr(10) || '\"so\",' || chr(10) || title as description) from feed)"
+)
+
 ORACLES = {
     "clean_feed": f"with raw as ({fixtures.for_oracle(fixtures.RAW_FEED)}) {_cleaned('raw')}",
     "csv_round_trip": _on_feed(_cleaned("feed")),
@@ -313,10 +350,10 @@ ORACLES = {
     "enriched_export": _on_merged(f"select {_ENRICHED} from merged"),
     "summary_scalars": _on_merged(
         "select *, cast(20 as integer) as n_columns, "
-        "round_even(100 - average_quality_score, 1) as points_from_perfect, "
-        "round_even(products_needing_review * cast(0.25 as double), 1) as hours_saved "
+        "cast(format('{:.1f}', cast(100 - average_quality_score as double)) as double) as points_from_perfect, "
+        "cast(format('{:.1f}', cast(products_needing_review * cast(0.25 as double) as double)) as double) as hours_saved "
         "from (select count(*) as total_products, "
-        "round_even(avg(quality_score), 1) as average_quality_score, "
+        "cast(format('{:.1f}', cast(avg(quality_score) as double)) as double) as average_quality_score, "
         "count(*) filter (quality_score < 60) as products_needing_review from merged) m"
     ),
     "grade_distribution": _on_merged(
@@ -381,6 +418,15 @@ ORACLES = {
     ),
     "enrich_feed": ENRICHED_BY_MODEL,
     "stream_enriched": ENRICHED_STREAM,
+    "csv_split": f"with {FEED}, {_BROKEN} {_cleaned('told')}",
+    "ordered_export": ORDERED_EXPORT,
+    "stream_headers": _on_scored("select product_id, pre_score, pre_grade, pre_issues from scored"),
+    "stream_batches": STREAM_BATCHES,
+    "stream_changes": STREAM_CHANGES,
+    "rounded_tenths": (
+        "select l_orderkey, l_linenumber, "
+        "cast(format('{:.1f}', cast(l_extendedprice as double) / 20) as double) as rounded from lineitem"
+    ),
     "csv_two_headers": _on_feed(_cleaned("feed")),
     "merge_fan_out": _merged_repeats("select * from given"),
     "merge_first": _merged_repeats(

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfgauge import operators as op
 from shelfgauge.plans import fixtures
 from shelfgauge.schema import MODEL_COLUMNS, RESULT_KEYS
-from shelfgauge.sources import clean_feed, export_columns, new_path, read_feed, write_feed
-from shelfgauge.streaming import stream_feed, write_enriched, write_scores
+from shelfgauge.functions import round_tenth
+from shelfgauge.sources import clean_feed, export_columns, new_path, read_feed, write_feed, write_ordered
+from shelfgauge.streaming import (
+    batch_files, score_files, stream_feed, stream_files, write_changes, write_enriched, write_scores,
+)
 
 SCORED = ("product_id", "pre_score", "pre_grade")
 BATCHED = ("product_id", "batch_id", "item_no")
@@ -159,6 +162,75 @@ def csv_two_headers(spark: SparkSession, folder: str) -> DataFrame:
     return read_feed(spark, first).unionByName(read_feed(spark, second))
 
 
+def csv_split(spark: SparkSession, folder: str) -> DataFrame:
+    """One large file whose cells hold quotes and line breaks, read by many tasks."""
+    path = new_path(spark, "feed-breaks")
+    told = F.concat("description", F.lit('\r\n"so",\n'), "title")
+    write_feed(feed(spark, folder).withColumn("description", told).coalesce(1), path)
+    return read_feed(spark, path, split=True)
+
+
+def ordered_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of one ordered CSV, numbered in the order of its parts."""
+    path = new_path(spark, "export-parts")
+    write_ordered(enriched(spark, folder), path)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    numbered = op.with_position(lines, ("file", "at"))
+    return numbered.select("position", F.col("value").alias("line"))
+
+
+def _two_files(spark: SparkSession, folder: str) -> str:
+    """The feed as two deliveries with headers of their own, in one folder."""
+    odd = F.substring("product_id", -1, 1).isin("1", "3", "5", "7", "9")
+    rows, place = feed(spark, folder), new_path(spark, "files-in")
+    turned = rows.where(~odd).select(*reversed(rows.columns)).withColumnRenamed("product_id", " Product ID")
+    write_feed(rows.where(odd), f"{place}/odd")
+    write_feed(turned, f"{place}/even")
+    return f"{place}/*"
+
+
+def _drained(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with different headers, scored as they arrive."""
+    out, log = (new_path(spark, name) for name in ("files-out", "files-log"))
+    _drained(score_files(stream_files(spark, _two_files(spark, folder)), out, log))
+    return spark.read.parquet(out).select(*SCORED, "pre_issues")
+
+
+def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of batches whose numbers go on: two deliveries, one after the other."""
+    rows, place = feed(spark, folder), new_path(spark, "batches-in")
+    out, log = (new_path(spark, name) for name in ("batches-out", "batches-log"))
+    odd = F.substring("product_id", -1, 1).isin("1", "3", "5", "7", "9")
+    for name, part in (("odd", odd), ("even", ~odd)):
+        write_feed(rows.where(part), f"{place}/{name}")
+        _drained(batch_files(stream_files(spark, f"{place}/*"), out, log))
+    return spark.read.parquet(out).select("product_id", "batch_id", "item_no")
+
+
+def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed delivered twice, with other prices for some products the second time."""
+    rows, place = feed(spark, folder), new_path(spark, "changes-in")
+    out, log = (new_path(spark, name) for name in ("changes-out", "changes-log"))
+    dearer = F.when(F.substring("product_id", -1, 1) == "7", F.lit("999.5")).otherwise(F.col("price"))
+    for name, part in (("first", rows), ("second", rows.withColumn("price", dearer))):
+        write_feed(part, f"{place}/{name}")
+        _drained(write_changes(stream_feed(spark, f"{place}/*"), out, log))
+    return spark.read.parquet(out).select("product_id", "price", "pre_score")
+
+
+def rounded_tenths(spark: SparkSession, folder: str) -> DataFrame:
+    """Rounding of values at and near ties."""
+    value = F.col("l_extendedprice").cast("double") / 20
+    items = spark.read.parquet(f"{folder.rstrip('/')}/lineitem.parquet")
+    return items.select("l_orderkey", "l_linenumber", round_tenth(value).alias("rounded"))
+
+
 def repeated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return (
         fixtures.on_spark(spark, folder, fixtures.REPEATED_FEED),
@@ -248,4 +320,10 @@ QUERIES = {
     "enrich_feed": enrich_feed,
     "stream_scored": stream_scored,
     "stream_enriched": stream_enriched,
+    "csv_split": csv_split,
+    "ordered_export": ordered_export,
+    "stream_headers": stream_headers,
+    "stream_batches": stream_batches,
+    "stream_changes": stream_changes,
+    "rounded_tenths": rounded_tenths,
 }

@@ -10,6 +10,8 @@ from shelfgauge.sources.feed_csv import (
     require_columns,
     surplus_rows,
     write_feed,
+    write_file,
+    write_ordered,
 )
 from shelfgauge.sources.shared_tables import (
     drop_folder,
@@ -38,4 +40,6 @@ __all__ = [
     "store_once",
     "surplus_rows",
     "write_feed",
+    "write_file",
+    "write_ordered",
 ]

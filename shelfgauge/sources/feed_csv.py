@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelfgauge.functions import strip
 from shelfgauge.schema import MODEL_COLUMNS, NA_TOKENS, REQUIRED_COLUMNS
+from shelfgauge.sources.shared_tables import drop_folder, move_only_part
+from shelfgauge.sources.split_csv import records
 
 #: Column for the text of records that do not fit the header.
 RECORD = "__record"
@@ -153,8 +160,26 @@ def _raw_feed(spark: SparkSession, path: str | list[str], line_breaks_in_cells:
     return raw.toDF(*names, RECORD)
 
 
+def _split_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Like :func:`_raw_feed`, with large files read by many tasks whatever their cells hold."""
+    found = records(spark, path)
+    heads = found.where("head").select("record").distinct().limit(2).collect()
+    if not heads:
+        raise ValueError(f"No header in {path}")
+    if len(heads) > 1:
+        raise ValueError(f"Files with different headers: {heads[0].record!r}, {heads[1].record!r}")
+    header = next(csv.reader(io.StringIO(heads[0].record, newline="")))
+    names = [name or f"_c{at}" for at, name in enumerate(header)]
+    cells = ", ".join(f"c{at} string" for at in range(len(names)))
+    parsed = F.from_csv("record", f"{cells}, {RECORD} string", {**READ_OPTIONS, "header": "false"})
+    raw = found.where("not head").select(parsed.alias("cells")).select("cells.*")
+    seen = [name.lower() for name in names]
+    names = [f"{n}{at}" if seen.count(n.lower()) > 1 else n for at, n in enumerate(names)]
+    return raw.toDF(*names, RECORD)
+
+
 def read_feed(
-    spark: SparkSession, path: str | list[str], *, line_breaks_in_cells: bool = True
+    spark: SparkSession, path: str | list[str], *, line_breaks_in_cells: bool = True, split: bool = False
 ) -> DataFrame:
     """Read CSV feeds as text.
 
@@ -166,8 +191,13 @@ def read_feed(
     ``line_breaks_in_cells=False`` lets Spark split large files between tasks. Use it
     for feeds known to keep each product on one line; otherwise a file is one task,
     and the work is spread over the files.
+
+    ``split=True`` reads large files with many tasks although cells hold line breaks,
+    which then stay as they were. It reads the files twice and writes the records once,
+    at the call (see :mod:`shelfgauge.sources.split_csv`).
     """
-    return conform(refuse_surplus(_raw_feed(spark, path, line_breaks_in_cells)))
+    raw = _split_feed(spark, path) if split else _raw_feed(spark, path, line_breaks_in_cells)
+    return conform(refuse_surplus(raw))
 
 
 def surplus_rows(
@@ -187,6 +217,45 @@ def export_columns(df: DataFrame) -> DataFrame:
     return df.select(*[f"`{name}`" for name in own + added])
 
 
+def _lines(df: DataFrame, order: Sequence[str | Column]) -> tuple[DataFrame, list[str]]:
+    """``line`` and what sorts it: the header first, then rows by ``order``, ties by their text."""
+    df = export_columns(df)
+    header = io.StringIO()
+    csv.writer(header, lineterminator="").writerow(df.columns)
+    keys = [(F.col(f"`{key}`") if isinstance(key, str) else key).alias(f"k{at}") for at, key in enumerate(order)]
+    text = F.to_csv(F.struct(*[f"`{name}`" for name in df.columns]), WRITE_OPTIONS).alias("line")
+    body = df.select(F.lit(1).alias("part"), *keys, text)
+    nothing = [F.lit(None).cast(body.schema[f"k{at}"].dataType).alias(f"k{at}") for at in range(len(keys))]
+    first = df.sparkSession.range(1).select(F.lit(0).alias("part"), *nothing, F.lit(header.getvalue()).alias("line"))
+    return first.unionByName(body), [F.col("part"), *[F.col(f"k{at}").asc_nulls_last() for at in range(len(keys))], F.col("line")]
+
+
+def write_ordered(df: DataFrame, path: str, order: Sequence[str | Column] = ("product_id",), *, mode: str = "errorifexists") -> None:
+    """Write one CSV in order as part files: put end to end by name, they are the file.
+
+    Only the first part has a header. ``order`` has column names, nulls last. Spark's own
+    commit publishes all parts at the end; a failed job leaves none.
+    """
+    lines, by = _lines(df, order)
+    ordered = lines.repartitionByRange(*by).sortWithinPartitions(*by)
+    ordered.select("line").write.mode(mode).text(path)
+
+
+def write_file(df: DataFrame, path: str, order: Sequence[str | Column] = ("product_id",)) -> None:
+    """Write one CSV file in order, for feeds that one task can write.
+
+    The file appears under its name when it is complete; an existing one is not replaced.
+    """
+    spark = df.sparkSession
+    lines, by = _lines(df, order)
+    staged = f"{path}.{uuid.uuid4().hex}"
+    try:
+        lines.repartition(1).sortWithinPartitions(*by).select("line").write.text(staged)
+        move_only_part(spark, staged, path)
+    finally:
+        drop_folder(spark, staged)
+
+
 def write_feed(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Write CSV part files, one header each, in export order."""
     export_columns(df).write.mode(mode).options(**WRITE_OPTIONS).csv(path)

@@ -82,6 +82,17 @@ def store_once(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def move_only_part(spark: SparkSession, folder: str, path: str) -> None:
+    """Give the only part file of a written folder a name of its own."""
+    system, place = _file_system(spark, folder)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    parts = [found.getPath() for found in system.listStatus(place) if found.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{len(parts)} parts in {folder}")
+    if system.exists(target) or not system.rename(parts[0], target):
+        raise FileExistsError(path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate tables, on whatever file system it lies."""
     system, target = _file_system(spark, path)

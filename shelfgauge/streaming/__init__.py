@@ -1,5 +1,20 @@
 """Structured Streaming entry points."""
 
 from shelfgauge.streaming.feeds import score_stream, stream_feed, write_enriched, write_scores
+from shelfgauge.streaming.files import (
+    batch_files, changed_products, feed_of_files, score_files, stream_files, write_changes, write_files,
+)
 
-__all__ = ["score_stream", "stream_feed", "write_enriched", "write_scores"]
+__all__ = [
+    "batch_files",
+    "changed_products",
+    "feed_of_files",
+    "score_files",
+    "score_stream",
+    "stream_feed",
+    "stream_files",
+    "write_changes",
+    "write_enriched",
+    "write_files",
+    "write_scores",
+]

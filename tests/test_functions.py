@@ -105,7 +105,10 @@ def test_to_score(spark, value, score):
 
 
 def test_rounding_is_half_even(spark):
-    values = [0.25, 0.31, 2.5, 74.25, 74.75, -0.25]
+    values = [0.25, 0.31, 2.5, 74.25, 74.75, -0.25, 73.35, 0.05, 0.15, 2.0**52 + 1, 1e300, float("inf")]
+    draw = random.Random(7)
+    values += [k / 20 for k in range(-4000, 4000)] + [k + 0.05 for k in range(2000)]
+    values += [draw.uniform(-100, 100) for _ in range(20_000)] + [draw.uniform(-1, 1) * 10 ** draw.randint(-5, 14) for _ in range(20_000)]
     assert evaluate(spark, values, round_tenth(F.col("c")), kind="double") == [
         round(v, 1) for v in values
     ]
