@@ -1,7 +1,7 @@
 """Operators on feeds: scoring, batching, model results, merging, summaries and views."""
 
 from shelfgauge.operators.batching import batch_sizes, by_category, with_batch_id, with_position
-from shelfgauge.operators.enrichment import analyse, enrich, responses_of
+from shelfgauge.operators.enrichment import analyse, enrich, responses_of, run_metrics
 from shelfgauge.operators.merging import first_results, merge_results
 from shelfgauge.operators.requests import batch_products, batch_requests
 from shelfgauge.operators.responses import (
@@ -54,6 +54,7 @@ __all__ = [
     "before_after",
     "by_category",
     "enrich",
+    "run_metrics",
     "find_products",
     "first_products",
     "first_results",

@@ -7,13 +7,12 @@ Spark tasks, so the executors must be able to load it; everything around the cal
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from shelfgauge.operators.batching import BATCH_COLUMNS, OWN_NAME, with_batch_id
+from shelfgauge.operators.calls import ask
 from shelfgauge.operators.merging import merge_results
 from shelfgauge.operators.requests import PROMPT, STRICT_PROMPT, batch_requests
 from shelfgauge.operators.responses import (
@@ -28,87 +27,76 @@ from shelfgauge.sources.shared_tables import is_written, new_path, store_once
 
 Scorer = Callable[[str], str]
 
-#: Batches per calling task between two points at which answers are safe.
-WAVE_SIZE = 100
-
-
-def _ask(scorer: Scorer, attempt: int, pause: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        called = False
-        for frame in frames:
-            answers, errors = [], []
-            for request in frame["request"]:
-                if called and pause:
-                    time.sleep(pause)
-                called = True
-                answer, error = None, None
-                try:
-                    answer = scorer(request)
-                    if answer is not None:
-                        answer.encode()  # text only, and text that can be stored
-                except Exception as failure:
-                    # A failed call counts as an unusable answer; the batch is asked again.
-                    answer = None
-                    error = f"{type(failure).__name__}: {failure}"
-                answers.append(answer)
-                errors.append(error)
-            yield pd.DataFrame(
-                {
-                    "batch_id": frame["batch_id"],
-                    "n": frame["n"],
-                    "attempt": attempt,
-                    "raw": pd.Series(answers, index=frame.index, dtype=object),
-                    "error": pd.Series(errors, index=frame.index, dtype=object),
-                }
-            )
-
-    return run
-
-
-def _in_waves(
+def _asked(
     requests: DataFrame,
     scorer: Scorer,
     attempt: int,
     folder: str,
     *,
     pause: float,
+    per_minute: float | None,
     callers: int,
-    wave_size: int,
 ) -> DataFrame:
-    """Send ``(batch_id, n, request)`` rows to the model, wave by wave, and store the answers.
+    """Send ``(batch_id, n, request)`` rows to the model and store the answers: one job.
 
-    The requests are written by wave. A wave has at most about ``wave_size`` batches per
-    calling task and is one job, whose answers lie at a fixed path once they are complete;
-    a run that is taken up again asks only the waves that are not. Answers are checked and
+    Every answer is logged when it comes (see :mod:`shelfgauge.operators.calls`), so a run
+    that is taken up again asks only what has no logged answer. Answers are checked and
     written before anything reads them: the model is costly and need not answer twice alike.
+    What the run did is observed while they are written.
     """
     spark = requests.sparkSession
     place = f"{folder}/responses-{attempt}"
-    asked = f"{folder}/requests-{attempt}"
-    if not is_written(spark, asked):
-        waves = max(1, -(-requests.count() // (callers * wave_size)))
-        wave = F.pmod(F.xxhash64("batch_id"), F.lit(waves)).cast("int")
-        requests.withColumn("wave", wave).write.mode("overwrite").partitionBy("wave").parquet(asked)
-    schema = f"{requests._jdf.schema().toDDL()}, wave int"
-    written = spark.read.schema(schema).parquet(asked)
-    found = written.select("wave").distinct().orderBy("wave").collect()  # a row per wave
-    for number in [row.wave for row in found] or [0]:
-        path = f"{place}/wave={number}"
-        if not is_written(spark, path):
-            wave = written.where(F.col("wave") == number).drop("wave")
-            wave = wave.repartition(callers, "batch_id")
-            answers = wave.mapInPandas(_ask(scorer, attempt, pause), RESPONSE_SCHEMA)
-            checked = validate_responses(parse_responses(answers)).drop("items")
-            checked.write.mode("overwrite").parquet(path)
+    if not is_written(spark, place):
+        # the partition that Spark's hash partitioning gives a batch is its shard
+        shard = F.pmod(F.hash("batch_id"), F.lit(callers)).alias("shard")
+        dealt = requests.select("batch_id", "n", "request", shard).repartition(callers, "batch_id")
+        work = ask(scorer, attempt, f"{folder}/calls-{attempt}", callers, pause, per_minute)
+        answers = dealt.sortWithinPartitions("shard").mapInPandas(work, RESPONSE_SCHEMA)
+        checked = validate_responses(parse_responses(answers)).drop("items")
+        seen = Observation()
+        observed = checked.observe(
+            seen,
+            F.count(F.lit(1)).alias("asked"),
+            F.count_if(F.col("error").isNotNull()).alias("failed"),
+            F.count_if(F.col("valid")).alias("valid"),
+            F.count_if(F.coalesce("n_items", F.lit(0)) == 0).alias("empty"),
+        )
+        observed.write.mode("overwrite").parquet(place)
+        told = spark.createDataFrame([(attempt, *(seen.get[name] for name in _METRICS))], _METRICS_SCHEMA)
+        told.write.mode("overwrite").parquet(f"{folder}/metrics-{attempt}")
     return _stored_responses(spark, place)
 
 
+_METRICS = ("asked", "failed", "valid", "empty")
+_METRICS_SCHEMA = "attempt int, " + ", ".join(f"{name} long" for name in _METRICS)
+
+
+def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """What the run in ``folder`` did, as observed: batches asked, asked again, failed calls, stubbed.
+
+    One row; reads no answers.
+    """
+    told = spark.read.schema(_METRICS_SCHEMA).parquet(f"{folder}/metrics-1", f"{folder}/metrics-2")
+    first, second = F.col("attempt") == 1, F.col("attempt") == 2
+
+    def total(name: str, which: Column, alias: str) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col(name))), F.lit(0)).cast("long").alias(alias)
+
+    return told.agg(
+        total("asked", first, "batches"),
+        total("valid", first, "valid_at_once"),
+        total("asked", second, "retried"),
+        total("failed", first | second, "failed_calls"),
+        total("empty", second, "stubbed"),
+    )
+
+
 #: Answers as they are stored, with their checks.
 _STORED = "batch_id long, n long, attempt int, raw string, error string, n_items int, valid boolean"
 
 
 def _stored_responses(spark: SparkSession, place: str) -> DataFrame:
-    return spark.read.schema(f"{_STORED}, wave int").option("basePath", place).parquet(place).drop("wave")
+    return spark.read.schema(_STORED).parquet(place)
 
 
 def responses_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,8 +113,8 @@ def analyse(
     prompt: str = PROMPT,
     strict_prompt: str = STRICT_PROMPT,
     pause: float = 0.0,
+    per_minute: float | None = None,
     callers: int | None = None,
-    wave_size: int = WAVE_SIZE,
     folder: str | None = None,
 ) -> DataFrame:
     """Results for every product of a feed with batch ids.
@@ -135,25 +123,26 @@ def analyse(
     the strict request; products of batches that still have none get stubs.
 
     ``callers`` is the number of tasks that call the model, by default the session's
-    shuffle partitions. With ``pause`` it bounds the call rate to ``callers / pause``. It
-    does not bound the partitions that build requests or read answers. Answers lie in
-    ``folder``; a second call with the same folder and feed takes up where the first ended.
+    shuffle partitions. ``per_minute`` is the rate of calls that all of them keep together;
+    ``pause`` is a time that each of them waits between two calls. Neither bounds the
+    partitions that build requests or read answers. Answers lie in ``folder``; a second
+    call with the same folder, feed and callers takes up where the first ended.
     """
     spark = batched.sparkSession
     callers = callers or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = folder or new_path(spark, "analysis")
     requests = batch_requests(batched, columns, prompt, strict_prompt)
 
-    def ask(rows: DataFrame, attempt: int, text: str) -> DataFrame:
+    def answers(rows: DataFrame, attempt: int, text: str) -> DataFrame:
         rows = rows.select("batch_id", "n", F.col(text).alias("request"))
-        return _in_waves(
-            rows, scorer, attempt, folder, pause=pause, callers=callers, wave_size=wave_size
+        return _asked(
+            rows, scorer, attempt, folder, pause=pause, per_minute=per_minute, callers=callers
         )
 
-    first = ask(requests, 1, "prompt")
+    first = answers(requests, 1, "prompt")
     failed = first.where(~F.col("valid")).select("batch_id")
     again = batched.join(failed, "batch_id", "left_semi")
-    second = ask(batch_requests(again, columns, prompt, strict_prompt), 2, "strict_prompt")
+    second = answers(batch_requests(again, columns, prompt, strict_prompt), 2, "strict_prompt")
 
     # Every batch has one first answer, and every rejected batch one second answer. So
     # the joins go by the batches that failed, which are few, and no answer text needs a

@@ -321,6 +321,13 @@ _BROKEN = (
     "told as (select * replace (description || chr(13) || chr(10) || '\"so\",' || chr(10) || title as description) from feed)"
 )
 
+RUN_FIGURES = f"""with {FEED}, {_numbered("product_id")},
+firsts as (select cast(substr(product_id, 2) as bigint) as number from numbered where pos % 8 = 0)
+select count(*) as batches, count(*) filter (number % 3 <> 0) as valid_at_once,
+  count(*) filter (number % 3 = 0) as retried, count(*) filter (number % 6 = 0) as failed_calls,
+  count(*) filter (number % 6 = 0) as stubbed
+from firsts"""
+
 ORACLES = {
     "clean_feed": f"with raw as ({fixtures.for_oracle(fixtures.RAW_FEED)}) {_cleaned('raw')}",
     "csv_round_trip": _on_feed(_cleaned("feed")),
@@ -418,6 +425,7 @@ ORACLES = {
     ),
     "enrich_feed": ENRICHED_BY_MODEL,
     "stream_enriched": ENRICHED_STREAM,
+    "run_figures": RUN_FIGURES,
     "csv_split": f"with {FEED}, {_BROKEN} {_cleaned('told')}",
     "ordered_export": ORDERED_EXPORT,
     "stream_headers": _on_scored("select product_id, pre_score, pre_grade, pre_issues from scored"),

@@ -143,6 +143,14 @@ def enrich_feed(spark: SparkSession, folder: str) -> DataFrame:
     return op.enrich(own, sample_model()).select(*ENRICHED, "item_no")
 
 
+def run_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run of the model did, as observed while it ran."""
+    place = new_path(spark, "observed-run")
+    batched = op.with_batch_id(feed(spark, folder), folder=place, fixed=True)
+    op.analyse(batched, sample_model(), folder=place)
+    return op.run_metrics(spark, place)
+
+
 def stream_enriched(spark: SparkSession, folder: str) -> DataFrame:
     source, out, log = (new_path(spark, name) for name in ("enrich-in", "enrich-out", "enrich-log"))
     write_feed(feed(spark, folder), source)
@@ -320,6 +328,7 @@ QUERIES = {
     "enrich_feed": enrich_feed,
     "stream_scored": stream_scored,
     "stream_enriched": stream_enriched,
+    "run_figures": run_figures,
     "csv_split": csv_split,
     "ordered_export": ordered_export,
     "stream_headers": stream_headers,

@@ -6,7 +6,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from shelfgauge.operators import analyse, enrich, responses_of, summary_scalars, with_batch_id
+from shelfgauge.operators import analyse, enrich, responses_of, run_metrics, summary_scalars, with_batch_id
+from shelfgauge.operators.calls import CallLog, Slots
 from shelfgauge.plans.queries import sample_model
 from shelfgauge.schema import MODEL_COLUMNS
 
@@ -111,7 +112,7 @@ def test_callers_set_the_number_of_calling_tasks(spark, feed_of, tmp_path):
 
     batched = with_batch_id(feed_of_ids(feed_of, 64), 1, folder=str(folder))
     analyse(batched, scorer, callers=3, folder=str(folder))
-    first = folder / "responses-1" / "wave=0"
+    first = folder / "responses-1"
     assert len(list(first.glob("part-*"))) == 3
 
 
@@ -161,7 +162,7 @@ def test_feed_columns_named_like_batch_columns_survive(spark, feed_of, logged):
     assert [(p["position"], p["batch_id"], p["item_no"]) for p in sent] == [("top", "b7", "1"), ("top", "b7", "2")]
 
 
-def test_a_run_that_was_stopped_asks_only_open_waves(spark, feed_of, logged, tmp_path):
+def test_a_run_that_was_stopped_loses_only_the_call_in_flight(spark, feed_of, logged, tmp_path):
     build, calls = logged
     feed, folder = feed_of_ids(feed_of, 12), str(tmp_path / "run")
     broken = tmp_path / "broken"
@@ -170,18 +171,66 @@ def test_a_run_that_was_stopped_asks_only_open_waves(spark, feed_of, logged, tmp
         import os
 
         if os.path.exists(str(broken)) and "007" in request:
-            raise SystemExit("killed")  # no answer, the task is gone
+            os._exit(1)  # no answer, the worker is gone
         return answer(products_of(request))
 
     broken.touch()
-    options = {"batch_size": 1, "folder": folder, "callers": 1, "wave_size": 2}
+    options = {"batch_size": 1, "folder": folder, "callers": 1}
     with pytest.raises(Exception):
         enrich(feed, build(reply), **options)
-    done = {p.name for p in pathlib.Path(folder, "responses-1").glob("wave=*") if (p / "_SUCCESS").exists()}
-    answered = {r.batch_id for r in spark.read.parquet(*[f"{folder}/responses-1/{d}" for d in done]).collect()} if done else set()
     broken.unlink()
     before = len(calls())
+    assert before > 1
     assert enrich(feed, build(reply), **options).where("grade = 'D'").count() == 12
-    assert len(calls()) - before == 12 - len(answered)
+    assert len(calls()) - before == 12 - (before - 1)
     again = len(calls())
     assert enrich(feed, build(reply), **options).count() == 12 and len(calls()) == again
+    told = run_metrics(spark, folder).first().asDict()
+    assert told == {"batches": 12, "valid_at_once": 12, "retried": 0, "failed_calls": 0, "stubbed": 0}
+
+
+def test_logs_hold_whole_lines_only(tmp_path):
+    log = CallLog(str(tmp_path), 3, roll=2)
+    assert list(log.read()) == []
+    for n in range(5):
+        log.write({"batch_id": n, "raw": "é\n\u2028" * n})
+    log.close()
+    files = sorted(tmp_path.glob("shard=3/*"))
+    assert len(files) == 3
+    with files[0].open("ab") as file:
+        file.write(b'{"batch_id": 99, "raw": "to')
+    assert sorted(a["batch_id"] for a in CallLog(str(tmp_path), 3).read()) == list(range(5))
+    assert list(CallLog(str(tmp_path), 4).read()) == []
+
+
+@pytest.mark.parametrize("shards, per_minute", [(1, 15), (4, 15), (7, 60), (50, 15)])
+def test_all_tasks_together_keep_the_rate(shards, per_minute):
+    times = []
+    for shard in range(shards):
+        now = [1_000_000.0 + 0.37 * shard]
+
+        def sleep(seconds, now=now):
+            now[0] += seconds
+
+        slots = Slots(shard, shards, per_minute, clock=lambda now=now: now[0], sleep=sleep)
+        for call in range(40):
+            slots.wait()
+            times.append(now[0])
+            now[0] += (call * 7 % 5) * 0.9  # calls take time of their own
+    times.sort()
+    for at, start in enumerate(times):
+        end = at
+        while end < len(times) and times[end] < start + 60 - 1e-6:
+            end += 1
+        assert end - at <= per_minute
+    if shards <= per_minute:
+        assert (len(times) - 1) / (times[-1] - times[0]) * 60 > per_minute * 0.6
+
+
+def test_the_rate_holds_in_a_run(spark, feed_of):
+    import time
+
+    batched = with_batch_id(feed_of_ids(feed_of, 6), 1)
+    start = time.time()
+    analyse(batched, lambda r: answer(products_of(r)), callers=3, per_minute=120)
+    assert time.time() - start > 1.4
