@@ -447,6 +447,7 @@ ORACLES = {
     ),
     "first_products": _on_feed("select product_id, title, price from feed order by product_id limit 20"),
     "summary_bundle": _on_merged(_FIGURES),
+    "stream_figures": _on_merged(_FIGURES),
     "summary_of_export": _on_merged(
         _FIGURES + " union all select 'band', score_class, cast(count(*) as double) from ("
         "select case when quality_score >= 80 then 'high' when quality_score >= 65 then 'mid' "

@@ -12,7 +12,8 @@ from shelfgauge.schema import MODEL_COLUMNS, RESULT_KEYS
 from shelfgauge.functions import round_tenth
 from shelfgauge.sources import clean_feed, export_columns, new_path, read_feed, write_feed, write_ordered
 from shelfgauge.streaming import (
-    batch_files, score_files, stream_feed, stream_files, write_changes, write_enriched, write_scores,
+    batch_files, figures_of, score_files, stream_feed, stream_files, write_changes, write_enriched,
+    write_figures, write_scores,
 )
 
 SCORED = ("product_id", "pre_score", "pre_grade")
@@ -232,6 +233,18 @@ def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("product_id", "price", "pre_score")
 
 
+def stream_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures kept while enriched products arrive in two deliveries."""
+    place, out, log = (new_path(spark, name) for name in ("figures-in", "figures-out", "figures-log"))
+    rows = enriched(spark, folder)
+    odd = F.substring("product_id", -1, 1).isin("1", "3", "5", "7", "9")
+    for name, part in (("odd", odd), ("even", ~odd)):
+        rows.where(part).write.parquet(f"{place}/{name}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{place}/*")
+        _drained(write_figures(arriving, out, log))
+    return bundle(figures_of(spark, out))
+
+
 def rounded_tenths(spark: SparkSession, folder: str) -> DataFrame:
     """Rounding of values at and near ties."""
     value = F.col("l_extendedprice").cast("double") / 20
@@ -335,4 +348,5 @@ QUERIES = {
     "stream_batches": stream_batches,
     "stream_changes": stream_changes,
     "rounded_tenths": rounded_tenths,
+    "stream_figures": stream_figures,
 }

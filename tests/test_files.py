@@ -11,8 +11,9 @@ from pyspark import cloudpickle
 from shelfgauge.operators import with_pre_score
 from shelfgauge.schema import FEED_SCHEMA, REQUIRED_COLUMNS
 from shelfgauge.sources import read_feed, write_file, write_ordered
+from shelfgauge.operators import summarise
 from shelfgauge.streaming import (
-    batch_files, feed_of_files, score_files, stream_feed, stream_files, write_changes,
+    batch_files, feed_of_files, figures_of, score_files, stream_feed, stream_files, write_changes, write_figures,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -130,3 +131,22 @@ def test_only_changed_products_pass_again(spark, tmp_path):
     deliver("d.csv", changed + changed)
     found = sorted((r.product_id, r.price) for r in spark.read.parquet(out).collect())
     assert len(found) == 7 and [f for f in found if f[0] == "P0003"] == [("P0003", "25.00"), ("P0003", "30.00")]
+
+
+def test_figures_after_each_delivery_equal_those_of_all_so_far(spark, tmp_path):
+    source, out, log = (f"{tmp_path}/{name}" for name in ("in", "out", "log"))
+    schema = "product_id string, title string, quality_score string, grade string, issues string, missing_attributes string"
+    parts = lambda s: [sorted(map(str, df.collect())) for df in (s.scalars, s.grades, s.worst, s.attributes)]
+    for at, n in enumerate((7, 1, 9, 4)):
+        rows = [
+            (f"{at}-{i}", "t", str((37 * (i + at)) % 101 + 0.35), "ABCDF"[(i + at) % 5], "x; y" if i % 2 else "", "colour; price" if i % 3 else None)
+            for i in range(n)
+        ]
+        spark.createDataFrame(rows, schema).write.parquet(f"{source}/{at}")
+        arriving = spark.readStream.schema(schema).parquet(f"{source}/*")
+        drain(write_figures(arriving, out, log))
+        assert parts(figures_of(spark, out)) == parts(summarise(spark.read.parquet(f"{source}/*")))
+    (tmp_path / "log" / "commits" / "3").unlink()
+    (tmp_path / "log" / "commits" / ".3.crc").unlink(missing_ok=True)
+    drain(write_figures(spark.readStream.schema(schema).parquet(f"{source}/*"), out, log))
+    assert parts(figures_of(spark, out)) == parts(summarise(spark.read.parquet(f"{source}/*")))
