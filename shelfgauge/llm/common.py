@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -32,18 +33,30 @@ def numbered(df: DataFrame, name: str, number: str = "row") -> DataFrame:
     return store(df.withColumn(number, F.monotonically_increasing_id()), name)
 
 
-def in_order(df: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` of ``df`` with ``file`` and ``at``, which rise in the order of its rows.
+def from_files(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` can tell the file they were read from."""
+    try:
+        df.metadataColumn("_metadata")
+    except AnalysisException:
+        return False
+    return True
 
-    A frame that reads written files has the order in which they were written: by part
-    number, then by place in the file, however Spark deals the files to tasks. Any other
-    frame has that of its partitions.
+
+def in_order(df: DataFrame, *columns: Column, files: bool = False) -> DataFrame:
+    """``columns`` of ``df`` with ``file``, ``run`` and ``task``, which rise in the order of its rows.
+
+    With ``files`` that is the order in which the files were written that ``df`` reads: by
+    part number, then by place in the file, however Spark deals the files to tasks and
+    whatever rows and columns are left out since. Otherwise it is that of the partitions.
+    Rows with equal values of the three are in one partition, in the order they come.
     """
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return df.select(*columns, F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
-    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
-    part = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 20, "0")
-    return df.select(*columns, F.concat(part, path).alias("file"), F.col("_metadata.row_index").alias("at"))
+    task = F.spark_partition_id().cast("long").alias("task")
+    if not files:
+        return df.select(*columns, F.lit("").alias("file"), F.lit(0).cast("long").alias("run"), task)
+    place = df.metadataColumn("_metadata")
+    part = F.lpad(F.regexp_extract(place["file_name"], r"^part-(\d+)", 1), 20, "0")
+    start = place["file_block_start"].alias("run")
+    return df.select(*columns, F.concat(part, place["file_path"]).alias("file"), start, task)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 256) -> Iterator[list[list]]:

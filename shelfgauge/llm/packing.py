@@ -5,12 +5,16 @@ windows first; the rest of each document goes, longest first, into the open wind
 the least room that still holds it. A segment tree over the possible amounts of room
 finds that window.
 
-Pieces are numbered in the order of the documents' rows (of written files: by file and
-place in it), so a mix stays a mix. Runs of about ``SHARD`` pieces in that order are
-shards, each packed alone by length and number: a shard that runs again gives the same
-windows. Sequences are numbered by shard and, within one, by the number of the window's
-longest piece. Shards leave at most a few windows with much room each.
-A window whose tokens are a power of two is left at that; all others are padded.
+Pieces are numbered in the order of the documents' rows, so a mix stays a mix: by
+partition, or, where the caller says so, by written file and place in it. Runs of about
+``SHARD`` pieces in that order are shards, each packed alone by length and number: a shard
+that runs again gives the same windows. Sequences are numbered by shard and, within one, by
+the number of the window's longest piece. Shards leave at most a few windows with much room
+each. A task holds the ids of one shard, at most 4 KB a piece.
+
+``pack_sequences`` gives the sequences with their ids: a window whose tokens are a power of
+two is left at that, all others are padded. ``pack`` gives the pieces, read back from the
+sequences.
 
 Null texts count as empty and are one end id. Null and repeated ids are carried through,
 each row a document of its own. An empty table gives an empty result. Other columns make
@@ -19,7 +23,6 @@ no difference.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,102 +72,154 @@ class Rooms:
         return self.open[room].pop(), room
 
 
-def cut(ids: bytes, window: int) -> Iterator[tuple[int, int, int]]:
-    """Start, length and checksum of the pieces of a document."""
+def cut(ids: bytes, window: int) -> Iterator[tuple[int, int, bytes]]:
+    """Start, length and ids of the pieces of a document."""
     for at in range(0, len(ids), 4 * window):
         piece = ids[at : at + 4 * window]
-        yield at // 4, len(piece) // 4, zlib.crc32(piece)
+        yield at // 4, len(piece) // 4, piece
+
+
+def padded(ids: bytes, window: int, pad: int = 0) -> bytes:
+    """The ids of a sequence, filled up to ``window`` unless their number is a power of two."""
+    n = len(ids) // 4
+    return ids if n & (n - 1) == 0 else ids + pad.to_bytes(4, "little") * (window - n)
 
 
-def _tokenized(docs: DataFrame, text: str, doc_id: str, window: int, ranks: str | None) -> DataFrame:
-    """Pieces, each with the file and first row of its run of rows, and its number there."""
-    narrow = in_order(docs, F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+def _tokenized(
+    docs: DataFrame, text: str, doc_id: str, window: int, ranks: str | None, files: bool
+) -> DataFrame:
+    """Pieces, each with its run of rows and its number there."""
+    narrow = in_order(docs, F.col(doc_id).alias("doc_id"), whole(text).alias("text"), files=files)
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-        "file string, run long, nth long"
+        f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, "
+        "file string, run long, task long, nth long"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encoder = Tokens(ranks)
-        before, first, nth = None, 0, 0
-        for part in pieces(batches, "doc_id", "text", "file", "at"):
-            for key, value, file, at in zip(*part):
-                if (file, at - 1) != before:
-                    first, nth = at, 0
-                before = file, at
+        seen: dict[tuple, int] = {}
+        for part in pieces(batches, "doc_id", "text", "file", "run", "task"):
+            for key, value, *own in zip(*part):
+                nth = seen.get(tuple(own), 0)
                 ids = encoder.encode(value) + END
                 for piece in cut(ids, window):
-                    yield key, *piece, len(ids) // 4, file, first, nth
+                    yield key, *piece, len(ids) // 4, *own, nth
                     nth += 1
+                seen[tuple(own)] = nth
 
     return map_rows(narrow, schema, run)
 
 
-def _placed(window: int, rows: list[tuple], shard: int) -> Iterator[tuple]:
-    """The pieces of a shard, longest first, each with its window and place there."""
+def _filled(window: int, pad: int, rows: list[tuple], shard: int) -> Iterator[tuple]:
+    """The sequences of a shard, from its pieces, longest first."""
     rooms = Rooms(window)
-    found: list[tuple[int, int]] = []
-    leaders: list[int] = []
-    for _, _, length, _, _, number in rows:
-        at, room = rooms.take(length) or (len(leaders), window)
-        if at == len(leaders):
-            leaders.append(number)
+    held: list[list[tuple]] = []
+    used: list[int] = []
+    for row in rows:
+        length = row[2]
+        at, room = rooms.take(length) or (len(held), window)
+        if at == len(held):
+            held.append([])
+            used.append(0)
         if room > length:
             rooms.put(room - length, at)
-        found.append((at, window - room))
-    order = {at: place for place, at in enumerate(sorted(range(len(leaders)), key=leaders.__getitem__))}
-    for row, (at, offset) in zip(rows, found):
-        yield *row[:-1], shard * PER_SHARD + order[at], offset
-
-
-def _packed(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows sorted by shard and falling length; a shard is held at a time."""
+        held[at].append((*row, used[at]))
+        used[at] += length
+    # By the number of the longest piece, which is the first.
+    for place, at in enumerate(sorted(range(len(held)), key=lambda at: held[at][0][5])):
+        ids = b"".join(row[3] for row in held[at])
+        yield (
+            shard * PER_SHARD + place,
+            used[at],
+            padded(ids, window, pad),
+            [
+                {"doc_id": key, "start": start, "length": length, "doc_tokens": tokens, "offset": offset}
+                for key, start, length, _, tokens, _, offset in held[at]
+            ],
+        )
+
+
+def _packed(window: int, pad: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Sequences of rows sorted by shard and falling length; a shard is held at a time."""
     shard, rows = None, []
-    names = "shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"
+    names = "shard", "doc_id", "start", "length", "ids", "doc_tokens", "number"
     for part in pieces(batches, *names):
         for own, *row in zip(*part):
             if own != shard:
                 if rows:
-                    yield from _placed(window, rows, shard)
+                    yield from _filled(window, pad, rows, shard)
                 shard, rows = own, []
             rows.append(tuple(row))
     if rows:
-        yield from _placed(window, rows, shard)
+        yield from _filled(window, pad, rows, shard)
 
 
 def _numbered(cuts: DataFrame) -> DataFrame:
-    """``number``: each piece's place in the order of the rows, from counts of the runs."""
-    runs = cuts.groupBy("file", "run").agg(F.count("*").alias("n"))
-    before = Window.orderBy("file", "run").rowsBetween(Window.unboundedPreceding, -1)
+    """``number``: each piece's place in the order of the rows, from counts of the runs.
+
+    A run is what one task read of one file, so there is a row per split of the input; they
+    are small enough to be put in order by one task, and joined as their size allows.
+    """
+    key = ["file", "run", "task"]
+    runs = cuts.groupBy(*key).agg(F.count("*").alias("n"))
+    before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     starts = store(
-        runs.select("file", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")),
-        "token-runs",
+        runs.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "token-runs"
     )
-    return cuts.join(F.broadcast(starts), ["file", "run"]).withColumn("number", F.col("before") + F.col("nth"))
+    return cuts.join(starts, key).withColumn("number", F.col("before") + F.col("nth"))
 
 
-def pack(
+def pack_sequences(
     docs: DataFrame,
     text: str = "text",
     doc_id: str = "doc_id",
     window: int = WINDOW,
     shard: int = SHARD,
     ranks: str | None = None,
+    files: bool = False,
+    pad: int = 0,
 ) -> DataFrame:
-    """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    cuts = store(_tokenized(docs, text, doc_id, window, ranks), "token-pieces")
+    """Per sequence: ``sequence_id, n_tokens, ids, pieces``.
+
+    ``ids`` are little-endian 32-bit numbers, filled up with ``pad`` after ``n_tokens``;
+    ``pieces`` lists ``doc_id, start, length, doc_tokens, offset`` in the sequence's order.
+    With ``files``, the rows' order is that of the files which ``docs`` reads.
+    """
+    cuts = store(_tokenized(docs, text, doc_id, window, ranks, files), "token-pieces")
     total = cuts.count()
     shards = max(1, -(-total // shard))
     dealt = (
         _numbered(cuts)
         .withColumn("shard", F.expr(f"number * {shards} div {max(1, total)}"))
+        .select("shard", "doc_id", "start", "length", "ids", "doc_tokens", "number")
         .repartition("shard")
         .sortWithinPartitions("shard", F.col("length").desc(), "number")
     )
     kind = cuts.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-        "sequence_id long, offset long"
+        "sequence_id long, n_tokens long, ids binary, pieces array<struct<"
+        f"doc_id: {kind}, start: bigint, length: bigint, doc_tokens: bigint, offset: bigint>>"
     )
-    return map_rows(dealt, schema, lambda batches: _packed(window, batches))
+    return map_rows(dealt, schema, lambda batches: _packed(window, pad, batches))
+
+
+def pack(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    window: int = WINDOW,
+    shard: int = SHARD,
+    ranks: str | None = None,
+    files: bool = False,
+) -> DataFrame:
+    """Per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
+
+    All of it is read from the sequences of :func:`pack_sequences`.
+    """
+    sequences = pack_sequences(docs, text, doc_id, window, shard, ranks, files)
+    ids = F.substring("ids", 4 * F.col("piece.offset").cast("int") + 1, 4 * F.col("piece.length").cast("int"))
+    return sequences.select("sequence_id", "ids", F.explode("pieces").alias("piece")).select(
+        "piece.doc_id", "piece.start", "piece.length", F.crc32(ids).alias("ids_crc32"),
+        "piece.doc_tokens", "sequence_id", "piece.offset", ids.alias("ids"),
+    )

@@ -50,7 +50,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), files=True).drop("ids")
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:

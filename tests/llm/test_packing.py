@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from shelfgauge.llm import packing, tokens
+from shelfgauge.llm import common, packing, tokens
 from shelfgauge.llm.tokens import Tokens
 
 
@@ -135,3 +135,45 @@ def test_very_long_runs_amid_other_rows(docs_of):
     texts = ["a b", " " * 2_000_000, "x" + "\n" * 2_000_000 + " y", " \t\n" * 700_000, "a" * 2_000_000, ""]
     ids = {i: found.encode(text, add_special_tokens=False).ids for i, text in enumerate(texts)}
     check(packing.pack(docs_of(*texts)).collect(), 1024, ids)
+
+
+def test_sequences_hold_the_ids(docs_of, reference):
+    texts = ["", None, "alpha beta " * 300, *(f"word {i} " * (i % 17) for i in range(200))]
+    docs = docs_of(*texts).repartition(3)
+    rows = packing.pack_sequences(docs, window=100, shard=90, pad=7).collect()
+    tokens_of = {i: [*reference(text or ""), 0] for i, text in enumerate(texts)}
+    left = dict(tokens_of)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        power = r.n_tokens & (r.n_tokens - 1) == 0
+        assert len(ids) == (r.n_tokens if power else 100) and set(ids[r.n_tokens :]) <= {7}
+        assert [p.offset for p in r.pieces] == [
+            sum(p.length for p in r.pieces[:at]) for at in range(len(r.pieces))
+        ] and sum(p.length for p in r.pieces) == r.n_tokens
+        for p in r.pieces:
+            own = tokens_of[p.doc_id]
+            assert ids[p.offset : p.offset + p.length] == own[p.start : p.start + p.length]
+            assert p.doc_tokens == len(own)
+            left[p.doc_id] = left[p.doc_id][p.length :]
+    assert not any(left.values()) and len({r.sequence_id for r in rows}) == len(rows)
+
+
+def test_pieces_carry_their_ids(docs_of):
+    rows = packing.pack(docs_of("a b c", "d " * 3000)).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
+def test_file_order_outlasts_filters_and_projections(spark, tmp_path):
+    """Files of unequal size, read longest first: numbers follow the files, whatever is left out."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('word ', 1 + cast(id % 50 as int)) as text", "1 as x")
+    path = f"{tmp_path}/docs"
+    docs.coalesce(1).write.option("maxRecordsPerFile", 700).parquet(path)
+    read = spark.read.parquet(path)
+    some = read.where("doc_id % 3 = 0").withColumn("y", read.x + 1).drop("x")
+    assert common.from_files(some) and not common.from_files(docs)
+    rows = packing.pack(some, window=64, shard=100, files=True).collect()
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.sequence_id >> 32, []).append(r.doc_id)
+    flat = [key for _, own in sorted(by_shard.items()) for key in sorted(own)]
+    assert flat == [i for i in range(4000) if i % 3 == 0]

@@ -66,7 +66,7 @@ def test_the_mix_order_reaches_the_sequences(spark, tmp_path, monkeypatch, writt
         mixed.write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/mix")
         mixed = spark.read.parquet(f"{tmp_path}/mix")
     pack = corpus_pipeline.packing.pack
-    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs: pack(docs, window=128, shard=400))
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, **given: pack(docs, window=128, shard=400, **given))
     packed = corpus_pipeline.STAGES[-1][1](spark, mixed, "").collect()
     assert len(packed) == 6000
     packed.sort(key=lambda r: (r.sequence_id, r.offset))
