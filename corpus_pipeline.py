@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfgauge.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from shelfgauge.llm.common import store, table
+from shelfgauge.llm.common import from_files, store, table
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents, their token ids and their places in sequences."""
+    return packing.pack(docs, files=from_files(docs))
 
 
 STAGES = [
