@@ -38,6 +38,8 @@ from shelfgauge.sources.shared_tables import new_path
 
 FRAME = 1 << 18
 BUNDLE = 1 << 25
+#: Bytes of records that a task reads back, unpacked.
+READ = 1 << 25
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
@@ -236,10 +238,14 @@ def write_archive(
 def read_archive(index: DataFrame) -> DataFrame:
     """The records that ``index`` names, read from their frames: header fields and payload.
 
-    A task reads its bundles one after the other, each frame once.
+    A task reads its bundles one after the other, each frame once. The index is small beside
+    what it names, so the number of tasks is set by the bytes of the records: about
+    ``READ`` a task, a task for each bundle at most.
     """
     wanted = index.select("page_id", "bundle", "frame", "offset", "length")
-    wanted = wanted.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    size = wanted.agg(F.sum("length").alias("total"), F.countDistinct("bundle").alias("bundles")).first()
+    tasks = max(1, min(size.bundles, -(-(size.total or 0) // READ)))
+    wanted = wanted.repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame", "offset")
     kind = wanted.schema["page_id"].dataType.simpleString()
     schema = (
         f"page_id {kind}, record_id string, record_type string, payload_bytes long, "

@@ -88,3 +88,16 @@ def test_odd_urls_stay_in_their_header(spark):
 
 def test_empty(pages_of):
     assert warc.read_archive(warc.write_archive(pages_of((1, "a")).where("false"))).collect() == []
+
+
+def test_read_back_has_tasks_by_the_bytes_of_the_records(pages_of, monkeypatch):
+    rows = [(i, f"page {i} " * 100) for i in range(200)]
+    index = warc.write_archive(pages_of(*rows).coalesce(1), frame=2000, bundle=5000)
+    bundles = index.select("bundle").distinct().count()
+    for size, tasks in ((1 << 25, 1), (40_000, range(3, 9)), (1, bundles)):
+        monkeypatch.setattr(warc, "READ", size)
+        read = warc.read_archive(index)
+        parts = read.rdd.getNumPartitions()
+        assert parts in tasks if isinstance(tasks, range) else parts == tasks
+        assert read.count() == 200
+    assert bundles > 20 and warc.read_archive(index.where("false")).collect() == []
