@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from shelfgauge.llm.quality_rules import (
     END,
+    ENTRY_WORDS,
     LEAST_WORDS,
     MENU_LINE,
     MOST_LOST,
     MOST_REPEATED,
+    NOTICE_WORDS,
     NOTICES,
     SHORT,
     SYMBOLS,
@@ -42,6 +44,7 @@ from ranked
 
 # Repeats are counted over positions of five-word windows; a word is repeated if a window
 # over it is. Lines are judged as in the operator: symbols, shouts, ends, menus, notices.
+# A menu's entries are what bars cut apart, and hyphens that are words of their own.
 OP3 = rf"""
 with texts as (
     select doc_id, coalesce(text, '') as text, row_number() over () as n from documents
@@ -65,14 +68,22 @@ with texts as (
     )
 ), seen as (
     select *, row_number() over (partition by n, line order by pos) > 1 as repeated,
-        {" or ".join(f"contains(lower(line), {_sql(notice)})" for notice in NOTICES)} as notice
+        own <= {NOTICE_WORDS} and (
+            {" or ".join(f"contains(lower(line), {_sql(notice)})" for notice in NOTICES)}
+        ) as notice
     from lines where own > 0
 ), judged as (
     select *, repeated or notice
         or 4 * len(regexp_extract_all(line, {_sql("[" + SYMBOLS + "]")})) > own
         or 2 * (length(line) - length(replace(line, '!', ''))) > own
         or (own < {SHORT} and not regexp_matches(line, {_sql(END)}))
-        or regexp_matches(line, {_sql(MENU_LINE)}) as fails
+        or (regexp_matches(line, {_sql(MENU_LINE)}) and {ENTRY_WORDS} >= list_max(list_transform(
+            regexp_split_to_array(
+                array_to_string(list_transform(
+                    regexp_extract_all(line, '[^ \t\n\x0b\x0c\r]+'),
+                    lambda word: case when word = '-' then '|' else word end), ' '),
+                '[|>»•·/]'),
+            lambda entry: len(regexp_extract_all(entry, '[^ \t\n\x0b\x0c\r]+'))))) as fails
     from seen
 ), lost as (
     select n, sum(repeated::int) as n_dup_lines,
@@ -90,7 +101,7 @@ with texts as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words,
     n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed,
     not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words)
-        and stay > 0 and 100 * n_lost_words <= {MOST_LOST} * n_words as kept
+        and (stay > 0 or n_lost_words = 0) and 100 * n_lost_words <= {MOST_LOST} * n_words as kept
 from counted
 """
 

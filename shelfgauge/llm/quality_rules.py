@@ -3,9 +3,12 @@
 A line fails by punctuation (many symbols or exclamation marks for its words, or short
 without an end mark), navigation (a row of menu entries of few words each), boilerplate
 (licence, cookie and rights notices; a line of over ``NOTICE_WORDS`` words only mentions
-them) or repetition (equal to an earlier line with a word). Failed lines go. A text is rejected if the base rules fail (under ten words, or over a fifth of its
-words in repeated windows of five), if over half of its words went with failed lines, or
-if no words are left. Notices go without counting as a loss, since good texts carry them.
+them) or repetition (equal to an earlier line with a word). Failed lines go. A text is
+rejected if the base rules fail (under ten words, or over a fifth of its words in repeated
+windows of five), if over half of its words went with failed lines, or if no words are left.
+Notices go without counting as a loss, since good texts carry them. A text all of whose lines
+would go as notices stays as it is: there is nothing beside which they would be notices, as in
+a text of one sentence that mentions one.
 
 Null and empty texts have no words and are rejected. All rows are judged alone, so
 repeated rows, null ids and other columns, whatever their names, make no difference.
@@ -118,7 +121,9 @@ def judge(text: str) -> tuple[int, int, int, int, int, bool, bool, int, str]:
     n = len(words)
     repeats = repeated_words(words)
     failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
-    kept = not failed and stay > 0 and 100 * lost <= MOST_LOST * n
+    if not stay and not lost:
+        left = text.split("\n")
+    kept = not failed and (stay > 0 or not lost) and 100 * lost <= MOST_LOST * n
     symbols = len(_SYMBOL.findall(text))
     return n, sum(map(len, words)), symbols, duplicates, repeats, failed, kept, lost, "\n".join(left)
 

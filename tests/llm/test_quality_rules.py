@@ -1,8 +1,10 @@
 import random
 
 import brute
+from oracle_check import differences
 
 from shelfgauge.llm import quality_rules
+from shelfgauge.llm.oracles import ORACLES
 
 PROSE = "The quick brown fox jumps over the lazy dog near the river bank today."
 
@@ -89,3 +91,28 @@ def test_verdicts_follow_the_labels(spark, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0")
     rows = quality_rules.judge_lines(docs).join(labels, "doc_id").collect()
     assert rows and not any(r.kept for r in rows)
+
+
+def test_a_sentence_that_mentions_a_notice_is_a_text():
+    line = "If you would like to know how we treat what you tell us see our privacy policy."
+    assert kept(line) and left(line) == line and kept(f"{line}\n\n")
+    assert left(f"{PROSE}\n{line}") == PROSE
+    assert not kept(f"{line}\nLogin") and not kept("All rights reserved.")
+
+
+def test_sql_judges_lines_alike(spark, tmp_path):
+    """Lines at the bounds, put together at random, by the operator and by its SQL."""
+    words = "the report explains at length why readers rarely look at what writers of old papers make of it today".split()
+    lines = [PROSE, "Login", "Menu.", "", "  ", "Home - made", "- Home - of the brave and free men -", "Yes - no"]
+    for n in (3, 16, 17, 18, 19):
+        lines += [" ".join([*words[:n], "privacy policy."]), " ".join(["Click here", *words[:n]]), " ".join(words[:n])]
+    for bar in ("|", " - ", "-", "/", " > ", " |- ", "·", " - - "):
+        for n in (1, 3, 4, 5):
+            lines += [f"Home{bar}" + " ".join(words[:n]) + ".", f"search {bar} a b{bar}" + " ".join(words[:n]) + "."]
+    draw = random.Random(8)
+    texts = ["\n".join(draw.choice(lines) for _ in range(draw.randint(1, 5))) for _ in range(1500)] + lines
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    judged = quality_rules.judge_lines(docs)
+    assert differences(judged, tmp_path, ORACLES["op3_quality_rules"]) == ""
+    assert 100 < judged.where("kept").count() < 1400
