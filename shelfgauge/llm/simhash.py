@@ -217,7 +217,11 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component, that with the least id, with its columns."""
+    """One row of each component, that with the least id, with its columns.
+
+    What goes is decided on narrow rows and written, so that Spark knows its size: where it
+    is small it is broadcast and no text moves.
+    """
     kept = numbered(docs.select(F.struct("*").alias("doc")), "documents")
     narrow = kept.select(
         "row",
@@ -225,6 +229,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.col("doc").getField(text).alias("text"),
     )
     rows = store(fingerprints(narrow, "text", "row", "doc_id"), "documents-fp")
+    found = store(components(rows).select("root", "doc_id", "row"), "documents-root")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    stay = components(rows).groupBy("root").agg(best.alias("best")).select("best.row")
-    return kept.join(stay, "row", "left_semi").select("doc.*")
+    stay = found.groupBy("root").agg(best.alias("best")).select("best.row")
+    gone = store(found.join(stay, "row", "left_anti").select("row"), "near-copies")
+    return kept.join(gone, "row", "left_anti").select("doc.*")
