@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,6 +35,8 @@ from shelfgauge.llm.tokens import Tokens
 WINDOW = 1024
 END = b"\0\0\0\0"
 SHARD = 20_000
+#: Shards that a task packs, one after the other: what it reads does not grow with the input.
+TASK_SHARDS = 4
 #: Windows of a shard have numbers below this.
 PER_SHARD = 1 << 32
 
@@ -79,6 +82,17 @@ def cut(ids: bytes, window: int) -> Iterator[tuple[int, int, bytes]]:
         yield at // 4, len(piece) // 4, piece
 
 
+def slim(ids: bytes) -> bytes:
+    """Ids as 16-bit numbers where all fit, for their way through files and shuffles."""
+    numbers = np.frombuffer(ids, "<u4")
+    return numbers.astype("<u2").tobytes() if numbers.max() < 1 << 16 else ids
+
+
+def wide(ids: bytes, length: int) -> bytes:
+    """The 32-bit ids of a piece of ``length`` tokens, from :func:`slim`."""
+    return ids if len(ids) == 4 * length else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def padded(ids: bytes, window: int, pad: int = 0) -> bytes:
     """The ids of a sequence, filled up to ``window`` unless their number is a power of two."""
     n = len(ids) // 4
@@ -103,8 +117,8 @@ def _tokenized(
             for key, value, *own in zip(*part):
                 nth = seen.get(tuple(own), 0)
                 ids = encoder.encode(value) + END
-                for piece in cut(ids, window):
-                    yield key, *piece, len(ids) // 4, *own, nth
+                for start, length, piece in cut(ids, window):
+                    yield key, start, length, slim(piece), len(ids) // 4, *own, nth
                     nth += 1
                 seen[tuple(own)] = nth
 
@@ -128,7 +142,7 @@ def _filled(window: int, pad: int, rows: list[tuple], shard: int) -> Iterator[tu
         used[at] += length
     # By the number of the longest piece, which is the first.
     for place, at in enumerate(sorted(range(len(held)), key=lambda at: held[at][0][5])):
-        ids = b"".join(row[3] for row in held[at])
+        ids = b"".join(wide(row[3], row[2]) for row in held[at])
         yield (
             shard * PER_SHARD + place,
             used[at],
@@ -193,7 +207,7 @@ def pack_sequences(
         _numbered(cuts)
         .withColumn("shard", F.expr(f"number * {shards} div {max(1, total)}"))
         .select("shard", "doc_id", "start", "length", "ids", "doc_tokens", "number")
-        .repartition("shard")
+        .repartition(-(-shards // TASK_SHARDS), "shard")
         .sortWithinPartitions("shard", F.col("length").desc(), "number")
     )
     kind = cuts.schema["doc_id"].dataType.simpleString()

@@ -177,3 +177,10 @@ def test_file_order_outlasts_filters_and_projections(spark, tmp_path):
         by_shard.setdefault(r.sequence_id >> 32, []).append(r.doc_id)
     flat = [key for _, own in sorted(by_shard.items()) for key in sorted(own)]
     assert flat == [i for i in range(4000) if i % 3 == 0]
+
+
+def test_ids_of_any_size_travel():
+    for ids in ([0], [5, 65_535], [65_536], [1, 1 << 31, 0], list(range(1024))):
+        raw = np.array(ids, "<u4").tobytes()
+        assert packing.wide(packing.slim(raw), len(ids)) == raw
+    assert len(packing.slim(np.array([5, 65_535], "<u4").tobytes())) == 4
