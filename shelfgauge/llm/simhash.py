@@ -37,6 +37,8 @@ RADIUS = 4
 BITS = 64
 #: Buckets of more fingerprints meet at midpoints; smaller ones are compared in memory.
 LARGE = 1024
+#: Fingerprints of more than one in so many rows are frequent: there are fewer than that.
+FREQUENT = 1000
 #: Hashes whose bits are summed at once.
 CHUNK = 1 << 16
 
@@ -191,8 +193,13 @@ def stars(edges: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame) -> DataFrame:
     """Rows of ``fp, doc_id, ...`` with ``root``, the least fingerprint of the component, and
-    ``component_id``, the least id that links reach."""
-    values = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
+    ``component_id``, the least id that links reach.
+
+    Rows of frequent fingerprints get them where they are read, the others by a shuffle.
+    """
+    values = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    values = store(values, "fingerprints")
+    total = values.agg(F.sum("n")).first()[0] or 0
     tree = stars(links(values.select("fp")))
     linked = tree.union(tree.select("a", F.col("a").alias("b")).distinct())
     linked = linked.join(values, linked.b == values.fp).select("a", "fp", "least_id")
@@ -203,8 +210,13 @@ def components(rows: DataFrame) -> DataFrame:
         "fp",
         F.coalesce("a", "fp").alias("root"),
         F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.col("n") * FREQUENT > total).alias("often"),
     )
-    return rows.join(named, "fp")
+    named = store(named, "components")
+    often, seldom = (named.where(f).drop("often") for f in ("often", "not often"))
+    frequent = rows.join(F.broadcast(often), "fp")
+    others = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(seldom, "fp")
+    return frequent.unionByName(others)
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -69,6 +69,18 @@ def test_documents_equal_brute_force(spark, folder):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [3, 1])
+def test_frequent_fingerprints_or_none_give_the_same(docs_of, monkeypatch, parts):
+    monkeypatch.setattr(simhash, "FREQUENT", parts)
+    draw = random.Random(2)
+    texts = ["same words in this one text"] * 20 + [
+        " ".join(draw.choice("abcdefghij") for _ in range(40)) for _ in range(15)
+    ]
+    texts += texts[25:28] + [texts[30] + " k"]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_copies(docs_of(*texts)).collect()}
+    assert got == brute.near(list(enumerate(texts)))
+
+
 def test_nulls_empties_and_repeats(docs_of):
     text = "one two three four five six seven eight nine ten"
     docs = docs_of((5, text), (5, text), (None, text), (7, None), (3, ""), (None, "alone here"), (9, text.upper()))
