@@ -15,8 +15,9 @@ right; with those shared to the left, an anchor knows how far repeats cover it.
 over ``LARGE`` contexts are not gathered: each of their windows is hashed and counted in
 a shuffle. Time is linear in the contexts at any size of a group, but for a logarithm.
 
-Hashes that decide equality have 128 bits (64 of the anchor, 64 of its context). Texts are
-read once and kept compressed in a written table until the bytes are removed.
+What decides equality are two 64-bit hashes, of the anchor and of its context, from sums of
+one kind: where anchors agree, the other 64 bits decide. Texts are read once, a part at a
+time, and kept compressed in a written table until the bytes are removed.
 
 Null texts count as empty, texts under 200 bytes lose nothing. Null and repeated ids are
 carried through; equal rows are copies of each other and lose all their windows. An empty
@@ -103,10 +104,10 @@ def chosen(grams: np.ndarray, width: int = BEFORE + 1) -> np.ndarray:
     return np.flatnonzero(most == grams)
 
 
-def anchors(raw: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text: hashes of gram and context, place, bytes from the place on."""
+def anchors(raw: np.ndarray, hasher: Hasher) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of a text, part by part: hashes of gram and context, place, bytes from the place on."""
     n = len(raw)
-    found: dict[int, tuple[int, int, int]] = {}
+    known = np.empty(0, np.int64)
     for first in range(0, n - WINDOW + 1, PART):
         last = min(first + PART + WINDOW - 1, n)  # end of the last window of this part
         low, high = max(0, first - BEFORE), min(n, last + WINDOW)
@@ -114,18 +115,65 @@ def anchors(raw: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np
         grams = hasher.grams(sums, GRAM)
         own = grams[first - low : last - low - GRAM + 1]
         places = chosen(own) + (first - low)
+        # Parts overlap by less than a window; what both choose counts once.
+        places = places[~np.isin(places + low, known)]
         before = np.minimum(BEFORE, places + low)
         reach = np.minimum(WINDOW, n - low - places)
         context = hasher.of(sums, places - before, places + reach)
         context = _mixed(context ^ (before * 1000 + reach).astype(np.uint64))
-        rows = zip(*(v.tolist() for v in (grams[places].view(np.int64), context.view(np.int64), reach)))
-        found.update(zip((places + low).tolist(), rows))
-    places = sorted(found)
-    gram, context, reach = zip(*(found[at] for at in places)) if places else ((), (), ())
-    return (
-        np.array(gram, np.int64), np.array(context, np.int64),
-        np.array(places, np.int64), np.array(reach, np.int64),
-    )
+        known = places + low
+        yield grams[places].view(np.int64), context.view(np.int64), known, reach
+
+
+def _alike(gram: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair occurs first, and which of them each pair is."""
+    order = np.lexsort((context, gram))
+    gram, context = gram[order], context[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _reached(place: np.ndarray, reach: np.ndarray) -> list[tuple[int, int]]:
+    """The contexts of anchors as spans, overlapping ones as one."""
+    place, reach = place[order := np.argsort(place)], reach[order]
+    starts, ends = place - np.minimum(BEFORE, place), place + reach
+    whole_window = ends - starts >= WINDOW
+    starts, ends = starts[whole_window], ends[whole_window]
+    gaps = np.flatnonzero(starts[1:] > ends[:-1])
+    if not len(starts):
+        return []
+    return list(zip(starts[[0, *(gaps + 1)]].tolist(), ends[[*gaps, -1]].tolist()))
+
+
+def folded(raw: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Columns ``gram, context, place, reach, n`` of a text's distinct anchors, and the spans
+    of those that occur again in it.
+
+    Each part is folded by itself first: a text that repeats itself holds few distinct anchors,
+    however many there are, so memory is that of a part.
+    """
+    kept, cover = [], []
+    for gram, context, place, reach in anchors(raw, hasher):
+        first, which = _alike(gram, context)
+        n = np.bincount(which, minlength=len(first))
+        again = n[which] > 1
+        cover += _reached(place[again], reach[again])
+        kept.append(np.stack([gram[first], context[first], place[first], reach[first], n]))
+    if not kept:
+        return np.empty((5, 0), np.int64), []
+    rows = np.concatenate(kept, axis=1)
+    if len(kept) > 1:
+        first, which = _alike(rows[0], rows[1])
+        again = np.bincount(which)[which] > 1
+        cover += _reached(rows[2][again], rows[3][again])
+        n = np.zeros(len(first), np.int64)
+        np.add.at(n, which, rows[4])
+        rows = rows[:, first]
+        rows[4] = n
+    return rows, merged(cover)
 
 
 def _read(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -145,19 +193,11 @@ def _read(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         for ids, texts in pieces(batches, "doc_id", "text", rows=64):
             for key, value in zip(ids, texts):
                 raw = value.encode("utf-8", "surrogatepass")
-                gram, context, place, reach = anchors(np.frombuffer(raw, np.uint8), hasher)
-                _, first, which, count = np.unique(
-                    np.stack([gram, context]), axis=1, return_index=True, return_inverse=True, return_counts=True
-                ) if len(gram) else (None, *(np.empty(0, np.int64),) * 3)
-                cover = []
-                if len(first) < len(gram):
-                    again = np.flatnonzero(count[which.ravel()] > 1)
-                    starts, ends = place[again] - np.minimum(BEFORE, place[again]), place[again] + reach[again]
-                    cover = merged(list(zip(starts.tolist(), ends.tolist())))
+                rows, cover = folded(np.frombuffer(raw, np.uint8), hasher)
                 yield (
                     key, len(raw), hashlib.sha256(raw).hexdigest(), packer.compress(raw),
                     [at for span in cover for at in span],
-                    gram[first], context[first], place[first], reach[first], count,
+                    *rows,
                 )
 
     return numbered(map_rows(narrow, schema, run), "texts")

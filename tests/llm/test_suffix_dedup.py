@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -24,14 +25,55 @@ def test_sorting_equals_python(subtests=None):
 
 def test_every_window_holds_an_anchor_and_parts_do_not_matter(monkeypatch):
     raw = np.random.default_rng(1).integers(97, 100, 3000, np.uint8)
-    whole = sd.anchors(raw, sd.Hasher())
+    whole = in_order(raw)
     gaps = np.diff(np.concatenate([[-1], whole[2], [len(raw) - sd.GRAM + 1]]))
     assert gaps.max() <= sd.BEFORE + 1
     monkeypatch.setattr(sd, "PART", 700)
-    for one, other in zip(whole, sd.anchors(raw, sd.Hasher())):
+    for one, other in zip(whole, in_order(raw)):
         assert (one == other).all()
 
 
+def in_order(raw):
+    """All anchors of a text by place."""
+    columns = [np.concatenate(parts) for parts in zip(*sd.anchors(raw, sd.Hasher()))]
+    return [column[np.argsort(columns[2])] for column in columns]
+
+
+def test_parts_fold_to_the_same(monkeypatch):
+    draw = random.Random(6)
+    passages = [bytes(draw.choice(b"abcdef") for _ in range(draw.randint(150, 600))) for _ in range(4)]
+    for _ in range(40):
+        text = b"".join(draw.choice([*passages, b"x" * 500]) for _ in range(draw.randint(0, 12)))
+        raw = np.frombuffer(text, np.uint8)
+        monkeypatch.setattr(sd, "PART", 1 << 18)
+        rows, cover = sd.folded(raw, sd.Hasher())
+        monkeypatch.setattr(sd, "PART", draw.randint(200, 900))
+        by_parts, again = sd.folded(raw, sd.Hasher())
+        assert cover == again
+        for i in (0, 1, 4):
+            assert (rows[i] == by_parts[i]).all()
+
+
+def test_a_long_text_of_one_letter_takes_the_memory_of_a_part():
+    raw, hasher = np.full(6_000_000, 120, np.uint8), sd.Hasher()
+    tracemalloc.start()
+    rows, cover = sd.folded(raw, hasher)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    # All but the edges hold the same context.
+    assert rows[4].sum() == len(raw) - sd.GRAM + 1 and rows[4].max() == len(raw) - 2 * sd.BEFORE - sd.GRAM + 1
+    assert cover == [(1, len(raw) - 1)] or cover == [(0, len(raw))]
+
+
+def test_long_repetitive_texts_among_others(docs_of):
+    letters, pairs = "x" * 2_000_000, "ab" * 700_000
+    found = {r.doc_id: r for r in rows(docs_of(letters, "short", pairs, "x" * 150))}
+    assert [(found[i].n_bytes, found[i].n_removed, found[i].n_spans) for i in range(4)] == [
+        (2_000_000, 2_000_000, 1), (5, 0, 0), (1_400_000, 1_400_000, 1), (150, 0, 0),
+    ]
+
+
 def test_groups_of_any_size_give_the_same_edges(monkeypatch):
     draw = random.Random(12)
     for _ in range(60):
