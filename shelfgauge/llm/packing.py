@@ -207,7 +207,8 @@ def pack_sequences(
         _numbered(cuts)
         .withColumn("shard", F.expr(f"number * {shards} div {max(1, total)}"))
         .select("shard", "doc_id", "start", "length", "ids", "doc_tokens", "number")
-        .repartition(-(-shards // TASK_SHARDS), "shard")
+        # Exactly so many shards a task; by hash, some would get twice as many.
+        .repartitionById(-(-shards // TASK_SHARDS), F.expr(f"int(shard div {TASK_SHARDS})"))
         .sortWithinPartitions("shard", F.col("length").desc(), "number")
     )
     kind = cuts.schema["doc_id"].dataType.simpleString()
