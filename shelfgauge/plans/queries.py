@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +20,9 @@ from shelfgauge.streaming import (
 SCORED = ("product_id", "pre_score", "pre_grade")
 BATCHED = ("product_id", "batch_id", "item_no")
 
+#: Bytes of stored documents that go into one large file; as text they are several blocks.
+FILE_BYTES = 128 << 20
+
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.on_spark(spark, folder, fixtures.FEED)
@@ -171,11 +175,18 @@ def csv_two_headers(spark: SparkSession, folder: str) -> DataFrame:
     return read_feed(spark, first).unionByName(read_feed(spark, second))
 
 
+def _large_files(spark: SparkSession, folder: str) -> int:
+    """In how many files the feed is delivered; looks at the sizes of files only."""
+    stored = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/documents.parquet")
+    return math.ceil((stored.agg(F.sum("length")).first()[0] or 1) / FILE_BYTES)
+
+
 def csv_split(spark: SparkSession, folder: str) -> DataFrame:
-    """One large file whose cells hold quotes and line breaks, read by many tasks."""
+    """Large files whose cells hold quotes and line breaks, each read by many tasks."""
     path = new_path(spark, "feed-breaks")
     told = F.concat("description", F.lit('\r\n"so",\n'), "title")
-    write_feed(feed(spark, folder).withColumn("description", told).coalesce(1), path)
+    rows = feed(spark, folder).withColumn("description", told)
+    write_feed(rows.coalesce(_large_files(spark, folder)), path)
     return read_feed(spark, path, split=True)
 
 

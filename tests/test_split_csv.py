@@ -104,3 +104,24 @@ def test_written_feeds_come_back(spark, tmp_path, feed_of, blocks_of):
     blocks_of(50)
     back = read_feed(spark, f"{tmp_path}/out", split=True)
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, feed.collect()), key=repr)
+
+
+def test_the_large_files_grow_in_number_with_the_feed(spark, tmp_path, monkeypatch):
+    from shelfgauge.plans import queries
+
+    documents = [(i, f"text {i}", "en", "web") for i in range(40)]
+    stored = spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").repartition(8)
+    stored.write.parquet(f"{tmp_path}/documents.parquet")
+    part = [(i, "name", "type", "brand", 1.5) for i in range(40)]
+    columns = "p_partkey long, p_name string, p_type string, p_brand string, p_retailprice double"
+    spark.createDataFrame(part, columns).write.parquet(f"{tmp_path}/part.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("part-*"))
+    for files in (1, 4):
+        written = tmp_path / f"written-{files}"
+        monkeypatch.setattr(queries, "new_path", lambda spark, name: str(written))
+        monkeypatch.setattr(queries, "FILE_BYTES", size // files + 1, raising=False)
+        found = queries.csv_split(spark, str(tmp_path)).collect()
+        assert len(list(written.glob("part-*.csv"))) == files
+        assert sorted(r.product_id for r in found) == sorted(f"P{i}" for i in range(40))
+        told = {r.product_id: r.description for r in found}
+        assert told["P1"] == "text 1\r\n\"so\",\nMen's name" and told["P0"] is None
