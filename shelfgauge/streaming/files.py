@@ -27,6 +27,9 @@ from shelfgauge.sources.shared_tables import is_written
 #: Files of a micro-batch; their names pass through the driver.
 FILES = 1000
 
+#: Groups of ids that a stream of changes keeps its state by.
+GROUPS = 4096
+
 
 def stream_files(spark: SparkSession, folder: str, files_per_trigger: int = FILES) -> DataFrame:
     """Stream of the names of new files in ``folder``; their content is not read."""
@@ -117,33 +120,49 @@ def batch_files(
     return write_files(names, work, out, checkpoint, **options)
 
 
-def changed_products(feed: DataFrame) -> DataFrame:
+def changed_products(feed: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Of a stream of products, those that are new or differ from their last delivery.
 
     The hash of each product's cells is kept as state under its id. Of several rows with
     one id in a micro-batch the first by content counts. Rows without an id pass.
+
+    Ids are dealt to ``groups`` groups by their hash, and a group's ids and hashes are one
+    row of state: a call of Python for every id takes many times as long as the comparison.
+    Rows without an id are dealt by their content. A checkpoint keeps to its ``groups``.
     """
     content = F.xxhash64(*[F.coalesce(F.concat(F.lit("="), f"`{name}`"), F.lit("")) for name in feed.columns])
     columns = [f"{field.name} {field.dataType.simpleString()}" for field in feed.schema]
     names = feed.columns
 
+    def firsts(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.sort_values("__content").drop_duplicates("product_id")
+
     def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames))
-        if key[0] is None:
-            yield frame[names]
-            return
-        first = frame.sort_values("__content").head(1)
-        content = int(first["__content"].iloc[0])
-        if not state.exists or state.get[0] != content:
-            state.update((content,))
-            yield first[names]
-
-    return feed.withColumn("__content", content).groupBy("product_id").applyInPandasWithState(
-        changed, ", ".join(columns), "content long", "append", "NoTimeout"
+        held = None
+        for frame in frames:
+            loose = frame["product_id"].isna()
+            if loose.any():
+                yield frame.loc[loose, names]
+            first = firsts(frame[~loose])
+            held = first if held is None else firsts(pd.concat([held, first]))
+        known = dict(zip(*state.get)) if state.exists else {}
+        delivered = list(zip(held["product_id"].tolist(), held["__content"].tolist()))
+        new = [known.get(product) != content for product, content in delivered]
+        if any(new):
+            known.update(delivered)
+            state.update((list(known), list(known.values())))
+            yield held.loc[new, names]
+
+    group = F.pmod(F.when(F.col("product_id").isNull(), F.col("__content")).otherwise(F.xxhash64("product_id")), F.lit(groups))
+    dealt = feed.withColumn("__content", content).withColumn("__group", group)
+    return dealt.groupBy("__group").applyInPandasWithState(
+        changed, ", ".join(columns), "ids array<string>, contents array<long>", "append", "NoTimeout"
     )
 
 
-def write_changes(feed: DataFrame, out: str, checkpoint: str, *, rules: Sequence[Rule] = DEFAULT_RULES) -> DataStreamWriter:
+def write_changes(
+    feed: DataFrame, out: str, checkpoint: str, *, rules: Sequence[Rule] = DEFAULT_RULES, groups: int = GROUPS
+) -> DataStreamWriter:
     """Writer for the scores of new and changed products only."""
-    writer = with_pre_score(changed_products(feed), rules).writeStream.outputMode("append").format("parquet")
+    writer = with_pre_score(changed_products(feed, groups), rules).writeStream.outputMode("append").format("parquet")
     return writer.option("path", out).option("checkpointLocation", checkpoint)

@@ -133,6 +133,31 @@ def test_only_changed_products_pass_again(spark, tmp_path):
     assert len(found) == 7 and [f for f in found if f[0] == "P0003"] == [("P0003", "25.00"), ("P0003", "30.00")]
 
 
+def test_changes_are_found_in_groups_of_ids(spark, tmp_path):
+    source, out, log = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/log"
+    states = []
+
+    def deliver(name, rows):
+        put(source, name, rows)
+        writer = write_changes(stream_feed(spark, str(source)), out, log, groups=16)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        states.extend(state.numRowsTotal for p in query.recentProgress for state in p.stateOperators)
+
+    nameless = [{**GOOD, "product_id": None, "title": title} for title in ("x", "x", "y")]
+    changed = products(300)
+    for at in (5, 299):
+        changed[at]["price"] = "30.00"
+    deliver("a.csv", products(300) + nameless)
+    deliver("b.csv", changed + products(10, 500) + nameless)
+    deliver("c.csv", products(300))
+    found = sorted((r.product_id or "", r.price) for r in spark.read.parquet(out).collect())
+    once = [(f"P{i:04}", "25.00") for i in [*range(300), *range(500, 510)]]
+    again = [(f"P{i:04}", price) for i in (5, 299) for price in ("25.00", "30.00")]
+    assert found == sorted([("", "25.00")] * 6 + once + again)
+    assert max(states) == 16
+
+
 def test_figures_after_each_delivery_equal_those_of_all_so_far(spark, tmp_path):
     source, out, log = (f"{tmp_path}/{name}" for name in ("in", "out", "log"))
     schema = "product_id string, title string, quality_score string, grade string, issues string, missing_attributes string"
