@@ -1,6 +1,7 @@
 import json
 import pathlib
 import sys
+import uuid
 
 import pytest
 from pyspark import cloudpickle
@@ -234,3 +235,36 @@ def test_the_rate_holds_in_a_run(spark, feed_of):
     start = time.time()
     analyse(batched, lambda r: answer(products_of(r)), callers=3, per_minute=120)
     assert time.time() - start > 1.4
+
+
+def test_requests_come_to_the_callers_in_small_batches(spark, feed_of, tmp_path, monkeypatch):
+    from shelfgauge.operators import enrichment
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    asked = enrichment.ask
+
+    def watched(*given):
+        work, place = asked(*given), str(seen)
+
+        def run(frames):
+            def told():
+                for frame in frames:
+                    size = sum(map(len, frame["request"]))
+                    pathlib.Path(place, uuid.uuid4().hex).write_text(str(size))
+                    yield frame
+
+            return work(told())
+
+        return run
+
+    monkeypatch.setattr(enrichment, "ask", watched)
+    long = "word " * 20_000
+    feed = feed_of(*({"product_id": f"P{i:03}", "description": long} for i in range(120)))
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = enrichment.enrich(feed, lambda request: "[]", callers=1, folder=str(tmp_path / "run"))
+    assert found.count() == 120
+    sizes = [int(file.read_text()) for file in seen.iterdir()]
+    # 120 products of 100 kB, asked twice
+    assert sum(sizes) > 24_000_000 and max(sizes) < 6_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit
